@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import big_batches
 from .words import U64, chunks, mix, span_hash
@@ -179,7 +180,7 @@ def tokenize(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "do
     source = docs.select(docs[id_col].alias(id_col), docs[text_col].cast("string").alias("_text"))
     schema = source.drop("_text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches):
         words = _loaded.get(key)  # a worker builds the tables once
