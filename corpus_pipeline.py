@@ -27,7 +27,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each near-duplicate class stays, and rows without an id."""
     found = near_duplicates(docs.select(F.col("doc_id").alias("doc"), "text"), Settled(spark, "minhash"))
-    return docs.join(found.where("doc <> component").select(F.col("doc").alias("doc_id")), "doc_id", "left_anti").select(docs.columns)
+    return docs.hint("merge").join(found.where("doc <> component").select(F.col("doc").alias("doc_id")), "doc_id", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -139,7 +139,8 @@ def line_dedup(docs: DataFrame, settle: Settled, id_col: str = "doc_id", text_co
     source = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
     runs = repeated_runs(source, settle, min_words).groupBy(*_DOC).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("ld_runs"))
     runs = runs.withColumnsRenamed({"doc": "ld_doc", "h": "ld_h"})
-    out = docs.join(runs, docs[id_col].eqNullSafe(runs["ld_doc"]) & (F.xxhash64(docs[text_col].cast("string")) == runs["ld_h"]), "left").drop("ld_doc", "ld_h")
+    # A merge join at every size: what it moves is in proportion to the texts.
+    out = docs.hint("merge").join(runs, docs[id_col].eqNullSafe(runs["ld_doc"]) & (F.xxhash64(docs[text_col].cast("string")) == runs["ld_h"]), "left").drop("ld_doc", "ld_h")
     split = F.split(F.col(text_col).cast("string"), "\n")
     keep = F.filter(split, lambda x, i: ~F.exists("ld_runs", lambda r: (r["first"] <= i) & (i <= r["last"])))
     gone = F.aggregate("ld_runs", F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
