@@ -141,26 +141,61 @@ def _verified(n_words: int, least: float):
     return run
 
 
-BLOCK = 1024
+BLOCK = 512  # entries of one side of a comparison
+SMALL = 64  # a bucket of up to so many entries may list its pairs: their number stays in proportion
 
 
-def _across(margin: int):
-    """Pairs of a block pair that lie in different components and agree in enough registers."""
+def _packed(n_words: int):
+    def run(batches):
+        for batch in batches:
+            sets = [e.tobytes() + w.astype(np.uint64).tobytes() for e, w in _sets(batch.column(1), n_words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc", "set"])
+
+    return run
+
+
+def _across(margin: int, least: float | None):
+    """Pairs of a block pair that lie in different components and agree in enough registers.
+
+    With ``least`` the rows hold their shingles: pairs are verified here, in the first band
+    where they meet and only while unconnected, and a spanning forest of the links comes back.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         side = np.asarray(table["side"])
         doc, comp = np.asarray(table["doc"]), np.asarray(table["component"])
         prints = np.frombuffer(b"".join(table["prints"].to_pylist()), np.uint16).reshape(len(doc), REGISTERS)
         left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-        src, dst = [], []
+        root = {c: c for c in comp.tolist()}
+        if least is not None:
+            flat = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()]
+            sets = [(x[: len(x) // 2], x[len(x) // 2 :].astype(np.int64)) for x in flat]
+            bands = np.array(table["keys"].to_pylist(), np.int64)
+            here = int(np.flatnonzero(bands[0] == table["key"][0].as_py())[0])
+
+        def top(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in left:
             other = right[(comp[right] != comp[k]) & ((side[k] != 0) | (doc[right] > doc[k]))]
             if len(other):
                 other = other[(prints[other] == prints[k]).sum(axis=1) >= margin]
-                src.append(np.full(len(other), doc[k]))
-                dst.append(doc[other])
-        empty = np.zeros(0, np.int64)
-        x, y = np.concatenate([empty, *src]), np.concatenate([empty, *dst])
+            if least is not None and len(other):
+                if here:
+                    other = other[~(bands[other, :here] == bands[k, :here]).any(axis=1)]
+                linked = []
+                for j in other:
+                    x, y = top(int(comp[k])), top(int(comp[j]))
+                    if x != y and similarity(sets[k], sets[j]) >= least - 1e-12:
+                        root[max(x, y)] = min(x, y)
+                        linked.append(j)
+                other = np.array(linked, np.int64)
+            src.append(np.full(len(other), doc[k]))
+            dst.append(doc[other])
+        x, y = np.concatenate(src), np.concatenate(dst)
         return pa.table({"src": np.minimum(x, y), "dst": np.maximum(x, y)})
 
     return run
@@ -175,8 +210,9 @@ def near_duplicates(docs: DataFrame, settle: Settled, least: float = 0.8, n_word
       count only if the exact probability Jaccard of their weighted shingles reaches ``least``.
       A bucket whose members are still in several components after that is compared pair by
       pair in blocks, on signatures only, across components; pairs that agree in at least as
-      many registers as a pair at ``least`` does but once in some ten thousand are verified too.
-      So no link is lost to the star, and a group of thousands of copies costs one link each.
+      many registers as a pair at ``least`` does but once in some ten thousand are verified too,
+      in the comparing task itself if the bucket is large. So no link is lost to the star, and
+      a group of thousands of copies costs one link each.
     * A document without words is alone; a text shorter than a shingle is one shingle.
       Null texts have no words. Rows of one ``doc`` and different texts share its class.
     """
@@ -191,10 +227,13 @@ def near_duplicates(docs: DataFrame, settle: Settled, least: float = 0.8, n_word
     buckets = settle(entry.groupBy("key").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "hub"))
     entry = settle(entry.join(buckets, "key"))
 
+    def texts_of(needed: DataFrame) -> DataFrame:
+        # A merge join at every size: what it moves is in proportion to the texts.
+        chosen = source.hint("merge").join(needed, "doc", "left_semi")
+        return chosen.select("doc", "text", F.xxhash64("text").alias("t")).dropDuplicates(["doc", "t"]).drop("t")
+
     def verify(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.explode(F.array("src", "dst")).alias("doc")).distinct()
-        chosen = source.join(needed, "doc", "left_semi")
-        texts = settle(chosen.select("doc", "text", F.xxhash64("text").alias("t")).dropDuplicates(["doc", "t"]).drop("t"))
+        texts = settle(texts_of(pairs.select(F.explode(F.array("src", "dst")).alias("doc")).distinct()))
         both = pairs.join(texts.withColumnsRenamed({"doc": "src", "text": "a"}), "src").join(texts.withColumnsRenamed({"doc": "dst", "text": "b"}), "dst")
         return settle(both.select("src", "dst", "a", "b").mapInArrow(_verified(n_words, least), "src long, dst long, similarity double"))
 
@@ -203,18 +242,23 @@ def near_duplicates(docs: DataFrame, settle: Settled, least: float = 0.8, n_word
     found = components(links, settle)
     with_comp = entry.join(found.withColumnRenamed("id", "doc"), "doc", "left").select("doc", "key", F.coalesce("component", "doc").alias("component"))
     mixed = with_comp.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
-    mixed = mixed.where("lo < hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    at = settle(with_comp.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("component", F.floor(F.pmod("doc", F.lit(97)) / 8)), F.col("blocks")).cast("int")).join(rep.select("doc", "prints"), "doc"))
+    mixed = mixed.where("lo < hi").select("key", (F.col("size") > SMALL).alias("hot"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    at = settle(with_comp.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("component", F.floor(F.pmod("doc", F.lit(97)) / 8)), F.col("blocks")).cast("int")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = at.select("key", "doc", "component", "prints", "block", other).select(
-        "key", "doc", "component", "prints", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
-    )
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side")
+    pairs = at.select("*", other).select("key", "doc", "component", "hot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), side)
     margin = int(REGISTERS * least - 4 * (REGISTERS * least * (1 - least)) ** 0.5)
-    across = pairs.groupBy("key", "i", "j").applyInArrow(_across(margin), "src long, dst long").distinct()
-    across = settle(across.join(stars, ["src", "dst"], "left_anti"))
-    if not across.isEmpty():
-        found = components(links.union(verify(across).select("src", "dst")), settle)
+    few = pairs.where("not hot").join(rep.select("doc", "prints"), "doc").groupBy("key", "i", "j").applyInArrow(_across(margin, None), "src long, dst long").distinct()
+    few = settle(few.join(stars, ["src", "dst"], "left_anti"))
+    more = [verify(few).select("src", "dst")]
+    hot = at.where("hot").select("doc").distinct()
+    if not hot.isEmpty():
+        sets = settle(texts_of(hot).mapInArrow(_packed(n_words), "doc long, set binary"))
+        full = pairs.where("hot").join(rep, "doc").join(sets, "doc")
+        more.append(settle(full.groupBy("key", "i", "j").applyInArrow(_across(margin, least), "src long, dst long")))
+    for m in more:
+        links = links.union(m)
+    found = components(links, settle)
     member = known.select("doc", "h1", "h2", "n").join(classes.select("h1", "h2", "rep"), ["h1", "h2"], "left")
     own = member.select("doc", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc")).alias("rep"))
     own = own.join(found.withColumnsRenamed({"id": "rep"}), "rep", "left").select("doc", F.coalesce("component", "rep").alias("component"))
