@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from .common import big_batches
 from .words import U64, chunks, mix, span_hash
 
-KNOWN = 400_000  # pre-tokens that a worker remembers between texts
+KNOWN, UNITS = 1_000_000, 400_000  # pre-tokens, and units of text, that a worker remembers between texts
 
 
 class PerfectHash:
@@ -95,7 +95,7 @@ class Vocabulary:
         after, before = list(range(1, n + 1)), list(range(-1, n))
         low = 16 if n < 1 << 16 else 48  # bits of a place; small integers compare faster
         mask, high = (1 << low) - 1, 2 * low
-        heap = [r << high | i << low | i + 2 for i in range(n - 1) if (r := pair[piece[i] << 8 | piece[i + 1]]) >= 0]
+        heap = [r << high | i << low | i + 2 for i, (a, b) in enumerate(zip(piece, piece[1:])) if (r := pair[a << 8 | b]) >= 0]
         heapq.heapify(heap)
         pop, push = heapq.heappop, heapq.heappush
         while heap:
@@ -141,13 +141,21 @@ class Vocabulary:
         plain = [bool(ODD(t)) for t in texts]
         parts = [self.cut(t) if odd else t.split(" ") for t, odd in zip(texts, plain)]
         known, spaced = self.known, self.spaced
-        for memory in (known, spaced):
-            if len(memory) > KNOWN:
+        for memory, size in ((known, KNOWN), (spaced, UNITS)):
+            if len(memory) > size:
                 memory.clear()
-        units = {p for part, odd in zip(parts, plain) if not odd for p in part[1:] if p not in spaced}
-        cuts = [self.cut(" " + u) for u in units]
+        units = {p for part, odd in zip(parts, plain) if not odd for p in part[1:]} - spaced.keys()
+        # Letters only, or letters and one mark, need no pattern to be cut.
+        words = {u for u in units if u.isalpha()}
+        units -= words
+        cuts = [((" " + u[:-1], u[-1]) if u[-1] in MARKS and u[:-1].isalpha() else self.cut(" " + u)) for u in units]
         heads = [self.cut(part[0]) if not odd else part for part, odd in zip(parts, plain)]
-        self.learn({p for cut in cuts for p in cut if p not in known} | {p for cut in heads for p in cut if p not in known})
+        need = {" " + u for u in words}
+        need.update(*cuts)
+        need.update(*heads)
+        self.learn(need - known.keys())
+        for unit in words:
+            spaced[unit] = known[" " + unit]
         for unit, cut in zip(units, cuts):
             spaced[unit] = " ".join([known[p] for p in cut])
         out = []
@@ -163,6 +171,7 @@ class Vocabulary:
         return b"".join([token[i] for i in ids.split()])
 
 
+MARKS = frozenset(".,;:!?|")
 ODD = regex.compile(r"^ | $| \s|\s ").search
 _loaded: dict[int, Vocabulary] = {}
 
