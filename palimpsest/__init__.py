@@ -1 +1 @@
-"""Palimpsest."""
+"""Palimpsest: bitemporal entity history on Spark."""

@@ -1 +1 @@
-"""Palimpsest."""
+"""Column functions and plain-Python semantics."""
