@@ -1 +1 @@
-"""Palimpsest."""
+"""Storage: an append-only Parquet log published through manifests."""

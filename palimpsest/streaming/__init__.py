@@ -1 +1 @@
-"""Palimpsest."""
+"""Incremental upkeep of a log from a stream of writes."""
