@@ -1,2 +1,118 @@
-QUERIES = {}
-ORACLES = {}
+"""Every query by name, and the DuckDB statement that gives the same rows."""
+
+from __future__ import annotations
+
+from . import history as h
+from .history import HOLDS, POLICIES
+
+# The record set in closed form: pieces of the valid axis, and which write each one dies by.
+_W = """
+w AS (SELECT event_type AS kind, user_id::VARCHAR AS entity_id, event_id AS k, ts AS tx, ts - to_hours(event_id % 97) AS vf,
+      CASE WHEN event_id % 5 = 0 THEN 'infinity'::TIMESTAMP ELSE ts + to_hours(1 + event_id % 41) END AS vt,
+      CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END AS intent, 'a' || (event_id % 7) AS actor, props AS data FROM events)"""
+_L = f"""WITH {_W},
+pt AS (SELECT kind, entity_id, vf AS p FROM w UNION SELECT kind, entity_id, vt FROM w),
+sg AS (SELECT *, row_number() OVER (PARTITION BY kind, entity_id ORDER BY p) AS i FROM pt),
+cv AS (SELECT w.kind, w.entity_id, w.k, s.i, coalesce(lead(w.k) OVER o, 4611686018427387904) AS d, lead(w.tx) OVER o AS dtx
+       FROM w JOIN sg s ON w.kind = s.kind AND w.entity_id = s.entity_id AND s.p >= w.vf AND s.p < w.vt
+       WINDOW o AS (PARTITION BY w.kind, w.entity_id, s.i ORDER BY w.k)),
+nb AS (SELECT a.kind, a.entity_id, a.k, a.i, a.dtx, max(CASE WHEN b.i < a.i THEN b.i END) AS l, min(CASE WHEN b.i > a.i THEN b.i END) AS r
+       FROM cv a LEFT JOIN cv b ON a.kind = b.kind AND a.entity_id = b.entity_id AND a.k = b.k AND b.d < a.d GROUP BY ALL),
+rc AS (SELECT DISTINCT n.kind, n.entity_id, n.k, CASE WHEN n.l IS NULL THEN w.vf ELSE sl.p END AS valid_from,
+       CASE WHEN n.r IS NULL THEN w.vt ELSE sr.p END AS vt, greatest(w.tx, cl.dtx, cr.dtx) AS tx_from, n.dtx AS tx_to, w.tx, w.intent AS wi, w.actor, w.data
+       FROM nb n JOIN w USING (kind, entity_id, k)
+       LEFT JOIN cv cl ON cl.kind = n.kind AND cl.entity_id = n.entity_id AND cl.k = n.k AND cl.i = n.l
+       LEFT JOIN cv cr ON cr.kind = n.kind AND cr.entity_id = n.entity_id AND cr.k = n.k AND cr.i = n.r
+       LEFT JOIN sg sl ON sl.kind = n.kind AND sl.entity_id = n.entity_id AND sl.i = n.l + 1
+       LEFT JOIN sg sr ON sr.kind = n.kind AND sr.entity_id = n.entity_id AND sr.i = n.r),
+r AS (SELECT kind, entity_id, k, valid_from, CASE WHEN vt < 'infinity' THEN vt END AS valid_to, tx_from, tx_to,
+      CASE WHEN tx_from = tx THEN wi ELSE 2 END AS intent, actor, data,
+      lpad(k::VARCHAR, 12, '0') || '-' || lpad((row_number() OVER (PARTITION BY kind, entity_id, k ORDER BY tx_from, valid_from))::VARCHAR, 4, '0') AS id FROM rc)
+"""
+_S = "kind, entity_id, k, valid_from, valid_to, tx_from, tx_to, intent"
+_V, _E, _T = "TIMESTAMP '2024-01-12'", "TIMESTAMP '2024-01-15'", "TIMESTAMP '2024-01-25'"
+
+
+def _in(a: str, b: str, t: str) -> str:
+    return f"({a} IS NULL OR {a} <= {t}) AND ({b} IS NULL OR {b} > {t})"
+
+
+def _at(t: str, tx: str) -> str:
+    return _in("valid_from", "valid_to", t) + " AND " + _in("tx_from", "tx_to", tx)
+
+
+def _where(cond: str) -> str:
+    return f"{_L} SELECT {_S}, id FROM r WHERE {cond}"
+
+
+def _paged(order: str) -> str:
+    return f"{_L} SELECT n - 200 AS position, {_S}, id FROM (SELECT *, row_number() OVER (ORDER BY tx_from {order}, valid_from {order}, id {order}) AS n FROM r WHERE kind = 'view') WHERE n BETWEEN 201 AND 300"
+
+
+_FIELD = f"""{_L}, f AS (SELECT *, json_extract(data, '$.k')::VARCHAR AS v FROM r WHERE {_in("valid_from", "valid_to", _V)}),
+g AS (SELECT *, lag(v) OVER o AS pv, row_number() OVER o AS n FROM f WINDOW o AS (PARTITION BY kind, entity_id ORDER BY tx_from, valid_from, id)),
+c AS (SELECT * FROM g WHERE n = 1 OR pv <> v)
+SELECT kind, entity_id, row_number() OVER (PARTITION BY kind, entity_id ORDER BY tx_from {{o}}, valid_from {{o}}, id {{o}}) AS position, tx_from, actor, intent, n > 1 AS from_present, pv AS from_value, true AS to_present, v AS to_value FROM c"""
+
+_null = lambda x: "NULL" if x is None else f"'{x}'"
+_RETAIN = f"""{_L}, po(kind, days) AS (VALUES {", ".join(f"('{k}', {d})" for k, d in POLICIES)}),
+ho(hold_id, kind, entity_id, f, placed, rel) AS (VALUES {", ".join(f"('{a}', '{b}', '{c}', TIMESTAMP '{d}', {e}, {_null(g)}::TIMESTAMP)" for a, b, c, d, e, g in HOLDS)}),
+s AS (SELECT r.*, TIMESTAMP '2024-01-30' - to_days(days) AS cutoff FROM r JOIN po USING (kind)),
+x AS (SELECT s.*, (SELECT arg_min(hold_id, placed) FROM ho WHERE f <= TIMESTAMP '2024-01-30' AND (rel IS NULL OR rel > TIMESTAMP '2024-01-30') AND (ho.kind = '' OR ho.kind = s.kind) AND (ho.entity_id = '' OR ho.entity_id = s.entity_id)) AS hold_id,
+      tx_to IS NOT NULL AND tx_to <= cutoff AS eligible FROM s WHERE tx_from < cutoff)
+"""
+_TIME = "CASE WHEN {0} IS NULL THEN '' ELSE rtrim(rtrim(strftime({0}, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') END"
+_CANON = " || ".join(f"octet_length(encode({x})) || ':' || {x}" for x in ["kind", "entity_id", "k::VARCHAR", *(_TIME.format(c) for c in ("valid_from", "valid_to", "tx_from")), "intent::VARCHAR", "actor", "data"])
+_CHAIN = f"""WITH RECURSIVE {_L.removeprefix("WITH ")}, q AS (SELECT *, {_CANON} AS canon, row_number() OVER (PARTITION BY kind, entity_id ORDER BY tx_from, valid_from, id) AS n FROM r),
+h AS (SELECT kind, entity_id, 0::BIGINT AS n, NULL::VARCHAR AS id, sha256('genesis' || chr(31) || kind || chr(31) || entity_id) AS hash FROM q WHERE n = 1
+      UNION ALL SELECT q.kind, q.entity_id, q.n, q.id, sha256(h.hash || q.canon) FROM h JOIN q ON q.kind = h.kind AND q.entity_id = h.entity_id AND q.n = h.n + 1)
+"""
+
+ORACLES = {
+    "put_split_log": f"{_L} SELECT {_S}, actor, data FROM r",
+    "put_split_log_set": f"{_L} SELECT {_S}, actor, data FROM r",
+    "current_tiling": f"{_L} SELECT {_S} FROM r WHERE tx_to IS NULL",
+    "asof_get": f"{_L}, p AS (SELECT kind, entity_id, min(tx) AS valid_at FROM w GROUP BY ALL) SELECT kind, entity_id, valid_at, k, tx_from, intent, data FROM r JOIN p USING (kind, entity_id) WHERE {_at('valid_at', _T)}",
+    "belief_shift": f"""{_L}, b AS (SELECT kind, entity_id, max(k) FILTER ({_in("tx_from", "tx_to", _E)}) AS k_then, max(k) FILTER (tx_to IS NULL) AS k_now FROM r WHERE {_in("valid_from", "valid_to", _V)} GROUP BY ALL)
+SELECT * FROM b WHERE k_then IS DISTINCT FROM k_now""",
+    "timeline_at": f"{_L} SELECT kind, entity_id, row_number() OVER (PARTITION BY kind, entity_id ORDER BY valid_from, tx_from) AS position, k, valid_from, valid_to, intent FROM r WHERE {_in('tx_from', 'tx_to', _E)}",
+    "history_filtered": _where(f"kind = 'click' AND entity_id = '8' AND valid_from < TIMESTAMP '2024-01-20' AND (valid_to IS NULL OR valid_to > TIMESTAMP '2024-01-05') AND tx_from < {_T}"),
+    "query_by_actor": _where("actor = 'a3'"),
+    "query_valid_overlap": _where("kind = 'view' AND valid_from < TIMESTAMP '2024-01-11' AND (valid_to IS NULL OR valid_to > TIMESTAMP '2024-01-10')"),
+    "query_tx_overlap": _where("tx_from < TIMESTAMP '2024-01-12' AND (tx_to IS NULL OR tx_to > TIMESTAMP '2024-01-10')"),
+    "query_intent": _where("intent = 1"),
+    "query_current_only": _where("kind = 'error' AND tx_to IS NULL"),
+    "query_point": _where(_at(_V, _E)),
+    "keyset_page_asc": _paged("ASC"),
+    "keyset_page_desc": _paged("DESC"),
+    "last_page_empty": "SELECT 0::BIGINT AS n",
+    "diff_flat": f"""{_L}, a AS (SELECT kind, entity_id, json_extract(data, '$.k')::VARCHAR AS x FROM r WHERE {_at(_V, _E)}), b AS (SELECT kind, entity_id, json_extract(data, '$.k')::VARCHAR AS y FROM r WHERE {_at(_V, _T)})
+SELECT kind, entity_id, 0 AS position, '/k' AS path, CASE WHEN x IS NULL THEN 'added' WHEN y IS NULL THEN 'removed' ELSE 'modified' END AS op, x AS old, y AS new FROM a FULL JOIN b USING (kind, entity_id) WHERE x IS DISTINCT FROM y""",
+    "field_history_asc": _FIELD.format(o="ASC"),
+    "field_history_desc": _FIELD.format(o="DESC"),
+    "changed_field": f"""{_L} SELECT n.kind, count(*) AS changed FROM r n JOIN r o ON n.kind = o.kind AND n.entity_id = o.entity_id AND o.tx_to = n.tx_from AND o.valid_from <= n.valid_from AND (o.valid_to IS NULL OR o.valid_to > n.valid_from)
+WHERE n.intent = 1 AND json_extract(n.data, '$.k')::VARCHAR <> json_extract(o.data, '$.k')::VARCHAR GROUP BY 1""",
+    "remainder_attribution": f"{_L} SELECT actor, CASE intent WHEN 0 THEN 'assert' WHEN 1 THEN 'correction' ELSE 'remainder' END AS intent_name, count(*) AS n, count(*) FILTER (tx_to IS NULL) AS open FROM r GROUP BY ALL",
+    "non_overlap_violations": f"""{_L}, o AS (SELECT valid_from, lag(valid_to) OVER w1 AS b, row_number() OVER w1 AS n FROM r WHERE tx_to IS NULL WINDOW w1 AS (PARTITION BY kind, entity_id ORDER BY valid_from))
+SELECT count(*) AS neighbours, count(*) FILTER (b IS NULL OR b > valid_from) AS violations FROM o WHERE n > 1""",
+    "coverage_gaps": f"""{_L}, o AS (SELECT kind, entity_id, valid_from, lag(valid_to) OVER (PARTITION BY kind, entity_id ORDER BY valid_from) AS b FROM r WHERE tx_to IS NULL)
+SELECT kind, entity_id, b AS gap_from, valid_from AS gap_to, date_diff('microsecond', b, valid_from) AS gap_us FROM o WHERE b < valid_from""",
+    "coverage_monotone": f"""{_L}, o AS (SELECT *, date_diff('microsecond', valid_from, valid_to) AS us FROM r WHERE valid_to IS NOT NULL)
+SELECT kind, entity_id, coalesce(sum(us) FILTER ({_in("tx_from", "tx_to", _E)}), 0)::BIGINT AS early_us, coalesce(sum(us) FILTER ({_in("tx_from", "tx_to", _T)}), 0)::BIGINT AS late_us FROM o GROUP BY ALL""",
+    "ratchet": f"""WITH {_W}, c AS (SELECT kind, entity_id, k, (floor(date_diff('second', TIMESTAMP '2024-01-01', tx) / 86400) * 86400000000)::BIGINT AS clock, row_number() OVER o AS n FROM w WINDOW o AS (PARTITION BY kind, entity_id ORDER BY k))
+SELECT kind, entity_id, k, (max(clock - n) OVER (PARTITION BY kind, entity_id ORDER BY k) + n)::BIGINT AS tx_us FROM c""",
+    "entities_touched": f"WITH {_W} SELECT DISTINCT kind, entity_id FROM w",
+    "interval_algebra": f"""WITH {_W}, v AS (SELECT *, CASE WHEN vt < 'infinity' THEN vt END AS e FROM w), a AS (SELECT *, lag(vf) OVER o AS pf, lag(e) OVER o AS pt, row_number() OVER o AS n FROM v WINDOW o AS (PARTITION BY kind, entity_id ORDER BY k))
+SELECT k, (e IS NULL OR pf < e) AND (pt IS NULL OR vf < pt) AS overlap, pf < vf AS before, (pt IS NULL AND e IS NOT NULL) OR coalesce(pt > e, false) AS beyond, vf <= pf AND (e IS NULL OR e > pf) AS holds,
+e IS NULL OR vf < e AS valid, date_diff('microsecond', vf, e) AS us, '[' || strftime(vf, '%Y-%m-%dT%H:%M:%S.%fZ') || ', ' || coalesce(strftime(e, '%Y-%m-%dT%H:%M:%S.%fZ'), '∞') || ')' AS shown FROM a WHERE n > 1""",
+    "pointer_escape": "SELECT event_id, replace(replace(event_type || '~/' || props, '~', '~0'), '/', '~1') AS token FROM events",
+    "retention_plan": f"{_RETAIN} SELECT id, kind, entity_id, tx_to FROM x WHERE eligible AND hold_id IS NULL",
+    "retention_withheld": f"{_RETAIN} SELECT id, kind, entity_id, hold_id FROM x WHERE eligible AND hold_id IS NOT NULL",
+    "retention_report": f"{_RETAIN} SELECT kind, count(*) AS examined, count(*) FILTER (eligible AND hold_id IS NULL) AS deleted, count(*) FILTER (eligible AND hold_id IS NOT NULL) AS withheld FROM x GROUP BY 1",
+    "chain_stamp": f"{_CHAIN} SELECT id, kind, entity_id, 'v1:' || hash AS token FROM h WHERE n > 0",
+    "chain_verify_intact": f"{_CHAIN} SELECT kind, entity_id, max(n) AS entries, max(n) AS chained, 'intact' AS status, NULL::INTEGER AS position, 'v1:' || arg_max(hash, n) AS head FROM h GROUP BY ALL",
+    "chain_verify_tampered": f"{_CHAIN} SELECT kind, entity_id, CASE WHEN min(n) FILTER (k % 50 = 7) IS NULL THEN 'intact' ELSE 'broken' END AS status, (min(n) FILTER (k % 50 = 7))::INTEGER AS position, arg_min(id, n) FILTER (k % 50 = 7) AS bad_id FROM q GROUP BY ALL",
+    "shred_status": f"{_L} SELECT id, kind, entity_id, CASE actor WHEN 'a0' THEN 'plain' WHEN 'a2' THEN 'shredded' WHEN 'a3' THEN 'no_keyring' ELSE 'open' END AS status, CASE WHEN actor NOT IN ('a2', 'a3') THEN data END AS data FROM r",
+}
+
+QUERIES = {name: getattr(h, name) for name in ORACLES}
