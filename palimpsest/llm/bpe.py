@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from .common import big_batches
 from .words import U64, chunks, mix, span_hash
 
-KNOWN, UNITS = 1_000_000, 400_000  # pre-tokens, and units of text, that a worker remembers between texts
+KNOWN = 800_000  # pre-tokens, and units of text, that a worker remembers between texts
 
 
 class PerfectHash:
@@ -118,18 +118,17 @@ class Vocabulary:
             i = after[i]
         return out
 
-    def learn(self, pieces: set[str]) -> None:
-        """Fill ``known`` with the ids of these pre-tokens, as decimal text joined by blanks."""
-        new = list(pieces)
-        raw = [p.encode("utf-8", "surrogatepass") for p in new]
+    def resolve(self, pieces: list[str]) -> list[str]:
+        """The ids of pre-tokens, as decimal text joined by blanks."""
+        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
         hashes = _hashes(raw)
         at = self.perfect.places(hashes)
-        hit = self.slot_hash[at] == hashes
-        for piece, data, k, same in zip(new, raw, at.tolist(), hit.tolist()):
-            if same and self.slot_token[k] == data:
-                self.known[piece] = str(self.ranks[data])
-            else:
-                self.known[piece] = " ".join(map(str, self.merge(data)))
+        hit = (self.slot_hash[at] == hashes).tolist()
+        slot, ranks, merge = self.slot_token, self.ranks, self.merge
+        return [str(ranks[data]) if same and slot[k] == data else " ".join(map(str, merge(data))) for data, k, same in zip(raw, at.tolist(), hit)]
+
+    def _add(self, memory: dict[str, str], names: list[str], pieces: list[str]) -> None:
+        memory.update(zip(names, self.resolve(pieces)))
 
     def encode(self, texts: list[str]) -> list[str]:
         """Each text's ids, decimal, joined by blanks.
@@ -138,41 +137,51 @@ class Vocabulary:
         which all blanks are such fall apart there, into units that recur and are remembered
         whole; other texts are cut by the pattern at once.
         """
-        plain = [bool(ODD(t)) for t in texts]
-        parts = [self.cut(t) if odd else t.split(" ") for t, odd in zip(texts, plain)]
         known, spaced = self.known, self.spaced
-        for memory, size in ((known, KNOWN), (spaced, UNITS)):
-            if len(memory) > size:
+        for memory in (known, spaced):
+            if len(memory) > KNOWN:
                 memory.clear()
-        units = {p for part, odd in zip(parts, plain) if not odd for p in part[1:]} - spaced.keys()
+        parts = [t.split(" ") for t in texts]
+        found = [list(map(spaced.get, part)) for part in parts]
+        new = {p for part, got in zip(parts, found) if None in got for p, g in zip(part[1:], got[1:]) if g is None}
+        bad = {u for u in new if not u or u[0].isspace() or u[-1].isspace()}
+        new -= bad
+        odd = [bool(bad) and not bad.isdisjoint(part[1:]) or len(part) > 1 and (not part[0] or part[0][-1].isspace()) for part in parts]
         # Letters only, or letters and one mark, need no pattern to be cut.
-        words = {u for u in units if u.isalpha()}
-        units -= words
-        cuts = [((" " + u[:-1], u[-1]) if u[-1] in MARKS and u[:-1].isalpha() else self.cut(" " + u)) for u in units]
-        heads = [self.cut(part[0]) if not odd else part for part, odd in zip(parts, plain)]
-        need = {" " + u for u in words}
-        need.update(*cuts)
+        words = {u for u in new if u.isalpha()}
+        rest = new - words
+        marked = [u for u in rest if u[-1] in MARKS and u[:-1].isalpha()]
+        rest.difference_update(marked)
+        words.update(u[:-1] for u in marked)
+        words = list(words - spaced.keys())
+        self._add(spaced, words, [" " + w for w in words])
+        cuts = [(u, self.cut(" " + u)) for u in rest]
+        heads = [self.cut(text if o else part[0]) for text, part, o in zip(texts, parts, odd)]
+        need = {u[-1] for u in marked}
         need.update(*heads)
-        self.learn(need - known.keys())
-        for unit in words:
-            spaced[unit] = known[" " + unit]
-        for unit, cut in zip(units, cuts):
+        need.update(*(cut for _, cut in cuts))
+        need = list(need - known.keys())
+        self._add(known, need, need)
+        for u in marked:
+            spaced[u] = f"{spaced[u[:-1]]} {known[u[-1]]}"
+        for unit, cut in cuts:
             spaced[unit] = " ".join([known[p] for p in cut])
         out = []
-        for part, head, odd in zip(parts, heads, plain):
+        for part, got, head, o in zip(parts, found, heads, odd):
             ids = [known[p] for p in head]
-            if not odd:
-                ids += [spaced[p] for p in part[1:]]
+            if not o:
+                if None in got:
+                    got = [spaced[p] if g is None and k else g for k, (p, g) in enumerate(zip(part, got))]
+                ids += got[1:]
             out.append(" ".join(ids))
         return out
 
     def decode(self, ids: str) -> bytes:
         token = self.token
-        return b"".join([token[i] for i in ids.split()])
+        return b"".join(map(token.__getitem__, ids.split()))
 
 
 MARKS = frozenset(".,;:!?|")
-ODD = regex.compile(r"^ | $| \s|\s ").search
 _loaded: dict[int, Vocabulary] = {}
 
 
