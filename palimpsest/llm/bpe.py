@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 
@@ -142,8 +143,10 @@ class Vocabulary:
             if len(memory) > KNOWN:
                 memory.clear()
         parts = [t.split(" ") for t in texts]
-        found = [list(map(spaced.get, part)) for part in parts]
-        new = {p for part, got in zip(parts, found) if None in got for p, g in zip(part[1:], got[1:]) if g is None}
+        new: set[str] = set()
+        for part in parts:
+            new.update(part[1:])
+        new = new.difference(spaced)
         bad = {u for u in new if not u or u[0].isspace() or u[-1].isspace()}
         new -= bad
         odd = [bool(bad) and not bad.isdisjoint(part[1:]) or len(part) > 1 and (not part[0] or part[0][-1].isspace()) for part in parts]
@@ -167,18 +170,16 @@ class Vocabulary:
         for unit, cut in cuts:
             spaced[unit] = " ".join([known[p] for p in cut])
         out = []
-        for part, got, head, o in zip(parts, found, heads, odd):
+        for part, head, o in zip(parts, heads, odd):
             ids = [known[p] for p in head]
             if not o:
-                if None in got:
-                    got = [spaced[p] if g is None and k else g for k, (p, g) in enumerate(zip(part, got))]
-                ids += got[1:]
+                ids += map(spaced.__getitem__, part[1:])
             out.append(" ".join(ids))
         return out
 
     def decode(self, ids: str) -> bytes:
         token = self.token
-        return b"".join(map(token.__getitem__, ids.split()))
+        return b"".join(map(token.__getitem__, ids.split(" "))) if ids else b""
 
 
 MARKS = frozenset(".,;:!?|")
@@ -206,6 +207,7 @@ def tokenize(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "do
             _loaded.clear()
             words = _loaded[key] = Vocabulary(*held.value)
         sha = hashlib.sha256
+        gc.disable()  # the memories hold millions of strings and no cycles
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
             coded = [c for lo, hi in chunks(texts) for c in words.encode(texts.slice(lo, hi - lo).to_pylist())]
