@@ -28,7 +28,7 @@ from .common import big_batches
 
 DATE = "2000-01-01T00:00:00Z"  # a fixed capture date: the same rows give the same bytes
 ROLL, SHARD_BYTES = 32 << 20, 64 << 20
-BUCKETS = 4096
+BUCKETS = 1 << 16
 LEAST = 1000  # bytes of a payload that is worth a revisit record
 
 
@@ -86,15 +86,13 @@ def _info() -> bytes:
 
 
 def plan(pages: DataFrame) -> DataFrame:
-    """pages(page_id, url, html) with payload, digest, refers_to: the page that the record revisits, if any.
+    """(page_id, digest, best): of equal payloads of LEAST bytes or more in several rows, the page to revisit.
 
-    Only groups of equal long payloads with several rows take part in the join; their rows
-    may all have one digest, which the adaptive skew join splits.
+    No payload moves: rows of a digest are counted before the shuffle, and the join is on light rows.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.encode(F.col("html").cast("string"), "utf-8"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    groups = rows.where(F.octet_length("payload") >= LEAST).groupBy("digest").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "best")
-    return rows.join(groups, "digest", "left")
+    light = pages.where(F.octet_length("payload") >= LEAST).select("page_id", F.sha1("payload").alias("digest"))
+    groups = light.groupBy("digest").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1 and best is not null").select("digest", "best")
+    return light.distinct().join(groups, "digest")
 
 
 def write(pages: DataFrame, folder: str, roll: int = ROLL, shard_bytes: int = SHARD_BYTES) -> dict:
@@ -107,11 +105,11 @@ def write(pages: DataFrame, folder: str, roll: int = ROLL, shard_bytes: int = SH
     """
     spark = pages.sparkSession
     big_batches(spark)
-    rows = plan(pages)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.encode(F.col("html").cast("string"), "utf-8"), F.lit(b"")).alias("payload"))
     ends = rows.agg(F.min("page_id"), F.max("page_id")).first()
     low, width = ends[0] or 0, max(1, -(-((ends[1] or 0) - (ends[0] or 0) + 1) // BUCKETS))
     bucket = F.when(F.col("page_id").isNull(), 0).otherwise(F.floor((F.col("page_id") - low) / width)).cast("int")
-    sizes = dict(pages.select(bucket.alias("b"), F.octet_length("html").alias("n")).groupBy("b").agg((F.sum(F.coalesce("n", F.lit(0)) + 500)).alias("n")).collect())  # BUCKETS rows at most
+    sizes = dict(rows.select(bucket.alias("b"), F.octet_length("payload").alias("n")).groupBy("b").agg((F.sum(F.coalesce("n", F.lit(0)) + 500)).alias("n")).collect())  # BUCKETS rows at most
     shard, full, cuts = 0, 0, []
     for b in sorted(sizes):
         if full and full + sizes[b] > shard_bytes:
@@ -120,9 +118,16 @@ def write(pages: DataFrame, folder: str, roll: int = ROLL, shard_bytes: int = SH
         cuts.append((b, shard))
     if not cuts:
         cuts = [(0, 0)]
-    chart = F.broadcast(spark.createDataFrame(cuts, "b int, shard int"))
-    rows = rows.withColumn("b", bucket).join(chart, "b").drop("b")
-    placed = rows.repartition(max(2, 2 * (shard + 1)), "shard").sortWithinPartitions("shard", "page_id", "url", "digest")
+    n = shard + 1
+    # A key for each shard that hash partitioning sends to a partition of its own.
+    keys = spark.range(30 * n + 100).select(F.pmod(F.hash("id"), F.lit(n)).alias("p"), "id").groupBy("p").agg(F.min("id").alias("id")).collect()  # n rows, BUCKETS at most
+    key_of = {r["p"]: r["id"] for r in keys}
+    chart = F.broadcast(spark.createDataFrame([(b, s, key_of.get(s, s)) for b, s in cuts], "b int, shard int, key long"))
+    # What a page revisits travels as rows of its own, ahead of it, so payloads are shuffled once.
+    told = plan(rows).select("page_id", F.lit(0).alias("place"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "best")
+    both = told.unionByName(rows.select("page_id", F.lit(1).alias("place"), "url", "payload", F.sha1("payload").alias("digest"), F.lit(None).cast("long").alias("best")))
+    both = both.withColumn("b", bucket).join(chart, "b").drop("b")
+    placed = both.repartition(n, "key").sortWithinPartitions("shard", "page_id", "place", "url", "digest")
     store, root = _store(folder)
     store.create_dir(root, recursive=True)
 
@@ -136,9 +141,15 @@ def write(pages: DataFrame, folder: str, roll: int = ROLL, shard_bytes: int = SH
             _publish(store, f"{root}/{name}", data)
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(data)]), pa.array([state["n"]]), pa.array([hashlib.sha256(data).hexdigest()])], names=["name", "bytes", "records", "sha256"])
 
-        last, twin, seen = None, 0, set()
+        last, twin, seen, of, revisits = None, 0, set(), None, {}
         for batch in batches:
-            for digest, page, url, html, best, shard in zip(*(batch.column(c).to_pylist() for c in ("digest", "page_id", "url", "payload", "best", "shard"))):
+            for digest, page, url, html, told, shard in zip(*(batch.column(c).to_pylist() for c in ("digest", "page_id", "url", "payload", "best", "shard"))):
+                if html is None:
+                    if page != of:
+                        of, revisits = page, {}
+                    revisits[digest] = told
+                    continue
+                best = revisits.get(digest) if page == of else None
                 if state["shard"] is not None and (state["shard"] != shard or state["out"].tell() >= roll):
                     yield close()
                     state = {"shard": shard, "file": state["file"] + 1 if state["shard"] == shard else 0, "out": io.BytesIO(_info()), "n": 0}
