@@ -65,10 +65,10 @@ def asof_get(spark, sf_dir):
     return read.get(records(spark, sf_dir), first).select("kind", "entity_id", "valid_at", "k", "tx_from", "intent", "data")
 
 
-def belief_shift(spark, sf_dir):
-    """Entities of which we now believe something else about VALID than we did at EARLY."""
-    r = records(spark, sf_dir).where(interval.contains("valid_from", "valid_to", ntz(VALID)))
-    was = F.max(F.when(interval.contains("tx_from", "tx_to", ntz(EARLY)), F.col("k")))
+def belief_shift(spark, sf_dir, valid=VALID, early=EARLY):
+    """Entities of which we now believe something else about ``valid`` than we did at ``early``."""
+    r = records(spark, sf_dir).where(interval.contains("valid_from", "valid_to", ntz(valid)))
+    was = F.max(F.when(interval.contains("tx_from", "tx_to", ntz(early)), F.col("k")))
     now = F.max(F.when(F.col("tx_to").isNull(), F.col("k")))
     both = r.groupBy("kind", "entity_id").agg(was.alias("k_then"), now.alias("k_now"))
     return both.where(~F.col("k_then").eqNullSafe(F.col("k_now")))
