@@ -235,7 +235,9 @@ def near_duplicates(docs: DataFrame, settle: Settled, least: float = 0.8, n_word
     def verify(pairs: DataFrame) -> DataFrame:
         texts = settle(texts_of(pairs.select(F.explode(F.array("src", "dst")).alias("doc")).distinct()))
         both = pairs.join(texts.withColumnsRenamed({"doc": "src", "text": "a"}), "src").join(texts.withColumnsRenamed({"doc": "dst", "text": "b"}), "dst")
-        return settle(both.select("src", "dst", "a", "b").mapInArrow(_verified(n_words, least), "src long, dst long, similarity double"))
+        linked = settle(both.select("src", "dst", "a", "b").mapInArrow(_verified(n_words, least), "src long, dst long, similarity double"))
+        settle.drop(texts)
+        return linked
 
     stars = settle(entry.where("doc <> hub").select(F.col("hub").alias("src"), F.col("doc").alias("dst")).distinct())
     links = verify(stars).select("src", "dst")
@@ -256,6 +258,7 @@ def near_duplicates(docs: DataFrame, settle: Settled, least: float = 0.8, n_word
         sets = settle(texts_of(hot).mapInArrow(_packed(n_words), "doc long, set binary"))
         full = pairs.where("hot").join(rep, "doc").join(sets, "doc")
         more.append(settle(full.groupBy("key", "i", "j").applyInArrow(_across(margin, least), "src long, dst long")))
+        settle.drop(sets)
     for m in more:
         links = links.union(m)
     found = components(links, settle)
