@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-import heapq
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +70,12 @@ class Vocabulary:
 
     def __init__(self, lines: bytes, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines.splitlines() if x)}
-        self.token = {str(v): k for k, v in self.ranks.items()}
+        self.digits = {k: str(v) for k, v in self.ranks.items()}
+        size = max(self.ranks.values(), default=-1) + 1
+        by_rank: list[bytes | None] = [None] * size
+        for token, rank in self.ranks.items():
+            by_rank[rank] = token
+        self.token = pa.array(by_rank, pa.large_binary())
         self.pair = [self.ranks.get(bytes((i >> 8, i & 255)), -1) for i in range(1 << 16)]
         self.cut = regex.compile(pattern).findall
         tokens = list(self.ranks)
@@ -85,22 +90,21 @@ class Vocabulary:
         self.known: dict[str, str] = {}
         self.spaced: dict[str, str] = {}
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Ranks of a pre-token by repeated merging of the pair of lowest rank, leftmost first.
+    def merge(self, piece: bytes) -> str:
+        """The ids of a pre-token by repeated merging of the pair of lowest rank, leftmost first.
 
         Parts are a linked list over the bytes; the heap holds each adjacent pair that is a
         token as one integer (rank, start, end of the pair); an entry whose parts have changed
         is stale.
         """
-        ranks, pair, n = self.ranks, self.pair, len(piece)
+        get, pair, n = self.ranks.get, self.pair, len(piece)
         after, before = list(range(1, n + 1)), list(range(-1, n))
         low = 16 if n < 1 << 16 else 48  # bits of a place; small integers compare faster
         mask, high = (1 << low) - 1, 2 * low
         heap = [r << high | i << low | i + 2 for i, (a, b) in enumerate(zip(piece, piece[1:])) if (r := pair[a << 8 | b]) >= 0]
-        heapq.heapify(heap)
-        pop, push = heapq.heappop, heapq.heappush
+        heapify(heap)
         while heap:
-            entry = pop(heap)
+            entry = heappop(heap)
             i, end = entry >> low & mask, entry & mask
             j = after[i]
             if not j or j == n or after[j] != end:
@@ -109,15 +113,18 @@ class Vocabulary:
             after[i] = end
             if end < n:
                 before[end] = i
-                if (r := ranks.get(piece[i : after[end]])) is not None:
-                    push(heap, r << high | i << low | after[end])
-            if (h := before[i]) >= 0 and (r := ranks.get(piece[h:end])) is not None:
-                push(heap, r << high | h << low | end)
+                to = after[end]
+                if (r := get(piece[i:to])) is not None:
+                    heappush(heap, r << high | i << low | to)
+            if i and (r := get(piece[(h := before[i]) : end])) is not None:
+                heappush(heap, r << high | h << low | end)
+        digits = self.digits
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : after[i]]])
-            i = after[i]
-        return out
+            j = after[i]
+            out.append(digits[piece[i:j]])
+            i = j
+        return " ".join(out)
 
     def resolve(self, pieces: list[str]) -> list[str]:
         """The ids of pre-tokens, as decimal text joined by blanks."""
@@ -125,8 +132,8 @@ class Vocabulary:
         hashes = _hashes(raw)
         at = self.perfect.places(hashes)
         hit = (self.slot_hash[at] == hashes).tolist()
-        slot, ranks, merge = self.slot_token, self.ranks, self.merge
-        return [str(ranks[data]) if same and slot[k] == data else " ".join(map(str, merge(data))) for data, k, same in zip(raw, at.tolist(), hit)]
+        slot, digits, merge = self.slot_token, self.digits, self.merge
+        return [digits[data] if same and slot[k] == data else merge(data) for data, k, same in zip(raw, at.tolist(), hit)]
 
     def _add(self, memory: dict[str, str], names: list[str], pieces: list[str]) -> None:
         memory.update(zip(names, self.resolve(pieces)))
@@ -151,19 +158,22 @@ class Vocabulary:
         new -= bad
         odd = [bool(bad) and not bad.isdisjoint(part[1:]) or len(part) > 1 and (not part[0] or part[0][-1].isspace()) for part in parts]
         # Letters only, or letters and one mark, need no pattern to be cut.
-        words = {u for u in new if u.isalpha()}
-        rest = new - words
-        marked = [u for u in rest if u[-1] in MARKS and u[:-1].isalpha()]
-        rest.difference_update(marked)
-        words.update(u[:-1] for u in marked)
-        words = list(words - spaced.keys())
+        words, marked, rest = [], [], []
+        for u in new:
+            if u.isalpha():
+                words.append(u)
+            elif u[-1] in MARKS and u[:-1].isalpha():
+                marked.append(u)
+            else:
+                rest.append(u)
+        words += {u[:-1] for u in marked}.difference(spaced, words)
         self._add(spaced, words, [" " + w for w in words])
         cuts = [(u, self.cut(" " + u)) for u in rest]
         heads = [self.cut(text if o else part[0]) for text, part, o in zip(texts, parts, odd)]
         need = {u[-1] for u in marked}
         need.update(*heads)
         need.update(*(cut for _, cut in cuts))
-        need = list(need - known.keys())
+        need = list(need.difference(known))
         self._add(known, need, need)
         for u in marked:
             spaced[u] = f"{spaced[u[:-1]]} {known[u[-1]]}"
@@ -177,9 +187,15 @@ class Vocabulary:
             out.append(" ".join(ids))
         return out
 
-    def decode(self, ids: str) -> bytes:
-        token = self.token
-        return b"".join(map(token.__getitem__, ids.split(" "))) if ids else b""
+    def decode(self, coded: list[str]) -> tuple[np.ndarray, np.ndarray, list[memoryview]]:
+        """The ids of all texts in a row, where each text's begin and end, and the bytes of each text."""
+        ends = np.cumsum([0, *(c.count(" ") + 1 if c else 0 for c in coded)])
+        ids = np.array([], np.int32) if not ends[-1] else np.fromstring(" ".join(filter(None, coded)), np.int32, sep=" ")
+        tokens = self.token.take(pa.array(ids))
+        _, offsets, data = tokens.buffers()
+        cut = np.frombuffer(offsets, np.int64)[ends].tolist() if len(ids) else [0] * len(ends)
+        data = memoryview(data or b"")
+        return ids, ends, [data[i:j] for i, j in zip(cut, cut[1:])]
 
 
 MARKS = frozenset(".,;:!?|")
@@ -210,15 +226,17 @@ def tokenize(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "do
         gc.disable()  # the memories hold millions of strings and no cycles
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
-            coded = [c for lo, hi in chunks(texts) for c in words.encode(texts.slice(lo, hi - lo).to_pylist())]
-            columns = [
-                batch.column(0),
-                pa.array([c.count(" ") + 1 if c else 0 for c in coded], pa.int64()),
-                pa.array([sha(c.encode()).hexdigest() for c in coded]),
-                pa.array([sha(words.decode(c)).hexdigest() for c in coded]),
-            ]
-            if ids:
-                columns.append(pa.array([np.array(c.split(), np.int32) for c in coded], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            for lo, hi in chunks(texts):
+                coded = words.encode(texts.slice(lo, hi - lo).to_pylist())
+                numbers, ends, decoded = words.decode(coded)
+                columns = [
+                    batch.column(0).slice(lo, hi - lo),
+                    pa.array(np.diff(ends)),
+                    pa.array([sha(c.encode()).hexdigest() for c in coded], pa.string()),
+                    pa.array([sha(d).hexdigest() for d in decoded], pa.string()),
+                ]
+                if ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(numbers)))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return source.mapInArrow(run, schema)

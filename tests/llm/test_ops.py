@@ -191,7 +191,7 @@ def test_bpe_equals_tiktoken(spark):
     texts = ["".join(rng.choice("ab éß\n\t 漢😀<|>[]'s19ThE .,\x1c\x85\xa0 ​\r") for _ in range(rng.randint(0, 60))) for _ in range(2000)]
     texts += ["", " ", "  ", "a" * 5000, "<|endoftext|>", prose(3000)]
     for text, ids in zip(texts, ours.encode(texts)):
-        assert ids == " ".join(map(str, theirs.encode_ordinary(text))) and ours.decode(ids) == text.encode()
+        assert ids == " ".join(map(str, theirs.encode_ordinary(text))) and bytes(ours.decode([ids])[2][0]) == text.encode()
     places = ours.perfect.places(bpe._hashes(list(table)))
     assert sorted(places.tolist()) == list(range(len(table)))
     rows = bpe.tokenize(edge(spark), lines, pattern).collect()
