@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import copy
 import shutil
 import tempfile
 import uuid
@@ -52,13 +53,28 @@ class Settled:
             self.spark.conf.set(_CLEANUP, was)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def part(self) -> Settled:
+        """The tables of one operator, apart from the caller's."""
+        self.n += 1
+        out = copy.copy(self)
+        out.root, out.n = f"{self.root}/{self.n}", 0
+        return out
+
+    def last(self, df: DataFrame) -> DataFrame:
+        """Write the result of this part; all that it settled before goes."""
+        out = self(df)
+        for n in range(1, self.n):
+            self._remove(f"{self.root}/{n}")
+        return out
+
     def drop(self, df: DataFrame) -> None:
         """Remove a settled table that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            self._remove(folder)
+
+    def _remove(self, folder: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

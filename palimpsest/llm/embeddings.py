@@ -110,6 +110,7 @@ def similar_embeddings(vectors: DataFrame, settle: Settled, least: float = 0.9,
     """
     spark = vectors.sparkSession
     big_batches(spark)
+    settle = settle.part()
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     fine = F.size("vec") > 0
     fine &= F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vec", lambda v: v != 0)
@@ -147,4 +148,4 @@ def similar_embeddings(vectors: DataFrame, settle: Settled, least: float = 0.9,
     known = known.select("rep", (F.col("ball_n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     of = rows.where("vec is not null").join(classes.select("vec", "rep"), "vec").select("id", "rep").join(known, "rep").select("id", "n_links", "component_id")
     alone = rows.where("vec is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return of.unionByName(alone).select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return settle.last(of.unionByName(alone)).select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -51,6 +51,7 @@ def repeated_runs(docs: DataFrame, settle: Settled, min_words: int = 50) -> Data
     order of (doc, hash of the text, line); occurrences may overlap. Lines are equal if their
     bytes are (by a 64-bit hash). ``first`` and ``last`` count lines from 0.
     """
+    settle = settle.part()
     lines = settle(_lines(docs).dropDuplicates([*_DOC, "pos"]))
     often = lines.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     kept = lines.join(often.select("name"), "name", "left_semi")
@@ -101,7 +102,7 @@ def repeated_runs(docs: DataFrame, settle: Settled, min_words: int = 50) -> Data
     gone = found[0]
     for more in found[1:]:
         gone = gone.unionByName(more)
-    return settle(_islands(gone))
+    return settle.last(_islands(gone))
 
 
 def _place(spans: DataFrame, unique: DataFrame) -> DataFrame:

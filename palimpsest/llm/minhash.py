@@ -217,6 +217,7 @@ def near_duplicates(docs: DataFrame, settle: Settled, least: float = 0.8, n_word
       Null texts have no words. Rows of one ``doc`` and different texts share its class.
     """
     big_batches(docs.sparkSession)
+    settle = settle.part()
     source = docs.select(F.col("doc").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     signed = settle(source.mapInArrow(lambda b: _signed(b, n_words), "doc long, h1 long, h2 long, n long, keys array<long>, prints binary"))
     known = signed.where("doc is not null")
@@ -265,4 +266,4 @@ def near_duplicates(docs: DataFrame, settle: Settled, least: float = 0.8, n_word
     member = known.select("doc", "h1", "h2", "n").join(classes.select("h1", "h2", "rep"), ["h1", "h2"], "left")
     own = member.select("doc", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc")).alias("rep"))
     own = own.join(found.withColumnsRenamed({"id": "rep"}), "rep", "left").select("doc", F.coalesce("component", "rep").alias("component"))
-    return own.groupBy("doc").agg(F.min("component").alias("component"))
+    return settle.last(own.groupBy("doc").agg(F.min("component").alias("component")))
