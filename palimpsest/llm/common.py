@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import copy
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,12 +18,15 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor shares: ``spark.checkpoint.dir`` of the session.
 
-    Only a session that names none (tests on one machine) gets a temporary folder, which
-    is removed when Python ends.
+    A session of one machine that names none (tests) gets a temporary folder, which is removed
+    when Python ends; on a cluster that folder would be out of the executors' sight, so there
+    it is an error to name none.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="palimpsest-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
@@ -86,6 +90,48 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.encode(F.coalesce(F.col(column).cast("string"), F.lit("")), "utf-8")) % n
 
 
+HOT = 4096  # a group that holds more than so small a part of all rows is joined by broadcast
+
+
+def meet(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, hot: int = HOT) -> DataFrame:
+    """rows joined to groups(keys, n, ...), where n counts the rows of a group, of ``total`` in all.
+
+    A group of over total / hot rows would put them into one task. There are fewer than ``hot``
+    such groups whatever the table, so they are broadcast; the others are merged.
+    """
+    large = groups.where(F.col("n") * hot > total)
+    rest = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti")
+    cold = rest.hint("merge").join(groups.where(F.col("n") * hot <= total), keys)
+    return rows.join(F.broadcast(large), keys).unionByName(cold)
+
+
+BLOCK = 1024  # entries of one side of a comparison
+
+
+def block_pairs(entries: DataFrame, group: str, settle: Settled, block: int = BLOCK) -> DataFrame:
+    """Deal the entries(key, ...) of each key into pairs of blocks that cover all pairs of unlike groups.
+
+    A group of more than ``block`` entries of a key gets blocks of its own, the rest share
+    blocks; an entry goes only to pairs of blocks that can hold a pair it belongs to, so a large
+    group is never compared with itself. Adds lo and hi (the pair of blocks) and side (0: the
+    pair is one block with itself, 1: the entry is in lo, 2: in hi). Blocks hold about ``block``
+    rows however large the key is: they are cut by a hash of the entry's ``id``.
+    """
+    sizes = entries.groupBy("key", group).agg(F.count(F.lit(1)).alias("m"))
+    own = sizes.withColumn("g", F.when(F.col("m") > block, F.col(group)))  # null: shares blocks
+    parts = own.groupBy("key", "g").agg(F.ceil(F.sum("m") / block).cast("int").alias("cuts"), F.count(F.lit(1)).alias("groups"))
+    parts = parts.groupBy("key").agg(F.collect_list(F.struct("g", "cuts")).alias("parts"), F.sum("groups").alias("groups"))
+    at = entries.join(settle(parts.where("groups > 1").drop("groups")), "key")
+    mine = lambda g: F.filter("parts", lambda p: p["g"].eqNullSafe(g))
+    at = at.withColumn("mine", F.coalesce(F.try_element_at(mine(F.col(group)), F.lit(1)), F.try_element_at(mine(F.lit(None).cast("long")), F.lit(1))))
+    at = at.withColumn("me", F.struct(F.col("mine.g").alias("g"), F.pmod(F.xxhash64("id"), F.col("mine.cuts")).cast("int").alias("c")))
+    others = F.filter("parts", lambda p: p["g"].isNull() | ~p["g"].eqNullSafe(F.col("mine.g")))
+    blocks = F.flatten(F.transform(others, lambda p: F.transform(F.sequence(F.lit(0), p["cuts"] - 1), lambda c: F.struct(p["g"].alias("g"), c.alias("c")))))
+    at = at.withColumn("you", F.explode(blocks))
+    side = F.when(F.col("me").eqNullSafe(F.col("you")), 0).when(F.col("me") < F.col("you"), 1).otherwise(2)
+    return at.select(*entries.columns, F.least("me", "you").alias("lo"), F.greatest("me", "you").alias("hi"), side.alias("side"))
+
+
 def big_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes as well as rows, so long texts do not pile up."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
