@@ -13,16 +13,21 @@ CUTS = 16  # pieces of a slot that are numbered by themselves
 
 
 def slots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with vslot (0..SLOTS-1), size (UTF-8 bytes of the text, null: none, plus 1) and
-    text_crc32. The slot is a hash of id and text, so neither a hot id nor a group of copies fills one."""
+    """docs with vslot (0..SLOTS-1), vcut (0..CUTS-1), size (UTF-8 bytes of the text, null: none,
+    plus 1) and text_crc32.
+
+    The slot is a hash of id and text, so neither a hot id nor a group of equal texts fills one:
+    equal texts of unlike ids are not kept together, as a group that holds a third of all bytes
+    could not be, if shards are to be equal. Rows that repeat both id and text add the number of
+    their place in the input to the hash and spread too; they alone depend on that place, so
+    write the result before it is used twice. Slot columns of docs are replaced.
+    """
     text = F.coalesce(F.encode(F.col(text_col).cast("string"), "utf-8"), F.lit(b"").cast("binary"))
-    return docs.withColumns(
-        {
-            "vslot": F.pmod(F.xxhash64(F.lit("slot"), id_col, text_col), F.lit(SLOTS)).cast("int"),
-            "size": (F.octet_length(text) + 1).cast("long"),
-            "text_crc32": F.crc32(text),
-        }
-    )
+    rows = docs.drop("vslot", "vcut").withColumns({"_k": F.xxhash64(F.lit("slot"), id_col, text_col), "_at": F.monotonically_increasing_id(), "size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(text)})
+    again = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_k", F.lit(True).alias("_again"))
+    rows = rows.join(again, "_k", "left").withColumn("_k", F.when(F.col("_again"), F.xxhash64("_k", "_at")).otherwise(F.col("_k")))
+    spread = {"vslot": F.pmod("_k", F.lit(SLOTS)).cast("int"), "vcut": F.pmod(F.shiftright("_k", 32), F.lit(CUTS)).cast("int")}
+    return rows.withColumns(spread).drop("_k", "_at", "_again")
 
 
 def slot_loads(slotted: DataFrame) -> list[tuple[int, int]]:
@@ -93,14 +98,14 @@ def placed(slotted: DataFrame, chart: SlotMap, id_col: str = "doc_id") -> DataFr
     """slotted with shard and slot, the row's number in its shard, from 0 without gaps.
 
     Pieces of virtual slots are counted first; a piece's base is the sum of those before it in
-    the shard, over SLOTS * CUTS counts at most, and only rows within a piece are numbered by a
-    window. Ties of id, size and checksum are equal rows, of which either may come first.
+    the shard, over SLOTS * CUTS (65,536) counts at most, so what is broadcast does not grow with
+    the table; only rows within a piece are numbered by a window. Ties of id, size and checksum
+    are equal rows, of which either may come first.
     """
     spark = slotted.sparkSession
-    cut = F.pmod(F.xxhash64(F.lit("cut"), id_col, "text_crc32", "size"), F.lit(CUTS)).cast("int")
-    at = slotted.withColumn("_cut", cut).join(F.broadcast(chart.frame(spark)), "vslot")
-    counts = at.groupBy("shard", "vslot", "_cut").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("shard").orderBy("vslot", "_cut")) - F.col("_n")
-    base = counts.select("vslot", "_cut", before.alias("_base"))
-    row = F.row_number().over(Window.partitionBy("vslot", "_cut").orderBy(id_col, "size", "text_crc32")) - 1
-    return at.withColumn("_row", row).join(F.broadcast(base), ["vslot", "_cut"]).withColumn("slot", F.col("_base") + F.col("_row")).drop("_cut", "_base", "_row", "vslot")
+    at = slotted.join(F.broadcast(chart.frame(spark)), "vslot")
+    counts = at.groupBy("shard", "vslot", "vcut").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("shard").orderBy("vslot", "vcut")) - F.col("_n")
+    base = counts.select("vslot", "vcut", before.alias("_base"))
+    row = F.row_number().over(Window.partitionBy("vslot", "vcut").orderBy(id_col, "size", "text_crc32")) - 1
+    return at.withColumn("_row", row).join(F.broadcast(base), ["vslot", "vcut"]).withColumn("slot", F.col("_base") + F.col("_row")).drop("vcut", "_base", "_row", "vslot")
