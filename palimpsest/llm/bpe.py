@@ -85,8 +85,9 @@ class Vocabulary:
         self.slot_hash = np.zeros(len(tokens), np.uint64)
         self.slot_hash[at] = hashes
         self.slot_token: list[bytes] = [b""] * len(tokens)
+        self.slot_ids: list[str] = [""] * len(tokens)
         for k, token in zip(at.tolist(), tokens):
-            self.slot_token[k] = token
+            self.slot_token[k], self.slot_ids[k] = token, self.digits[token]
         self.known: dict[str, str] = {}
         self.spaced: dict[str, str] = {}
 
@@ -127,13 +128,14 @@ class Vocabulary:
         return " ".join(out)
 
     def resolve(self, pieces: list[str]) -> list[str]:
-        """The ids of pre-tokens, as decimal text joined by blanks."""
+        """The ids of pre-tokens, as decimal text joined by blanks: from its slot for a whole token,
+        by merging for any other."""
         raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
         hashes = _hashes(raw)
         at = self.perfect.places(hashes)
         hit = (self.slot_hash[at] == hashes).tolist()
-        slot, digits, merge = self.slot_token, self.digits, self.merge
-        return [digits[data] if same and slot[k] == data else merge(data) for data, k, same in zip(raw, at.tolist(), hit)]
+        slot, ids, merge = self.slot_token, self.slot_ids, self.merge
+        return [ids[k] if same and slot[k] == data else merge(data) for data, k, same in zip(raw, at.tolist(), hit)]
 
     def _add(self, memory: dict[str, str], names: list[str], pieces: list[str]) -> None:
         memory.update(zip(names, self.resolve(pieces)))
@@ -143,7 +145,9 @@ class Vocabulary:
 
         Where a blank has no white space beside it, a pre-token starts at the blank. Texts in
         which all blanks are such fall apart there, into units that recur and are remembered
-        whole; other texts are cut by the pattern at once.
+        whole; other texts are cut by the pattern at once. That, and the words of letters that
+        skip the pattern, hold for patterns that cut as the one in public_tokenizers does; use
+        no other.
         """
         known, spaced = self.known, self.spaced
         for memory in (known, spaced):
