@@ -48,9 +48,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slotted = sharding.slots(_documents(spark, sf_dir)).select("doc_id", "size", "text_crc32", "vslot")
+    settle = Settled(spark, "op5")
+    slotted = settle(sharding.slots(_documents(spark, sf_dir)).select("doc_id", "size", "text_crc32", "vslot", "vcut"))
     chart = sharding.SlotMap.fresh(sharding.slot_loads(slotted), 8)
-    folder = f"{Settled(spark, 'op5').root}/map"
+    folder = f"{settle.root}/map"
     chart.save(spark, folder)
     out = sharding.placed(slotted, sharding.SlotMap.load(spark, folder))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -74,8 +75,9 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{Settled(spark, 'op7').root}/warc"
-    warc.write(table(spark, sf_dir, "pages"), folder)
+    settle = Settled(spark, "op7")
+    folder = f"{settle.root}/warc"
+    warc.write(table(spark, sf_dir, "pages"), folder, settle)
     return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -1,8 +1,8 @@
 """A deterministic sharded WARC writer, and a reader of what it wrote.
 
-Records are sorted by page id, cut into shards of about equal bytes by a histogram of the ids
-(so the cut depends on the rows alone), and written to gzip members in files that roll at a
-compressed size. Every file is written under a temporary name and renamed when complete, and
+Records are sorted by page id and payload digest, cut into shards of about equal bytes by a tree
+of histograms (so the cut depends on the rows alone), and written to gzip members in files that
+roll at a compressed size. Every file is written under a temporary name and renamed when complete, and
 counts only if the manifest, written last and renamed too, lists it; a lost or doubled task
 leaves at most a temporary file.
 """
@@ -24,17 +24,28 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import big_batches
+from .common import Settled, big_batches
 
 DATE = "2000-01-01T00:00:00Z"  # a fixed capture date: the same rows give the same bytes
 ROLL, SHARD_BYTES = 32 << 20, 64 << 20
-BUCKETS = 1 << 16
+SHARDS = 1 << 14  # shards at most, but for single rows that are larger; a shard of a larger table is larger
+FAN = 1 << 16  # cells of a histogram
 LEAST = 1000  # bytes of a payload that is worth a revisit record
 
 
+def _named(spark: SparkSession, folder: str) -> str:
+    """folder with the scheme that Spark would give it, so executors open the same place."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _store(folder: str) -> tuple[fs.FileSystem, str]:
-    if urlparse(folder).scheme in ("", "file"):
+    """The file system of a URI; schemes of Hadoop's connectors are read as the stores they name."""
+    scheme = urlparse(folder).scheme
+    if scheme == "file":
         return fs.LocalFileSystem(), urlparse(folder).path
+    if scheme in ("s3a", "s3n"):
+        folder = "s3" + folder[len(scheme) :]
     return fs.FileSystem.from_uri(folder)
 
 
@@ -85,49 +96,110 @@ def _info() -> bytes:
     return coder.compress(head + body + b"\r\n\r\n") + coder.flush()
 
 
-def plan(pages: DataFrame) -> DataFrame:
+def plan(light: DataFrame) -> DataFrame:
     """(page_id, digest, best): of equal payloads of LEAST bytes or more in several rows, the page to revisit.
 
-    No payload moves: rows of a digest are counted before the shuffle, and the join is on light rows.
+    light(page_id, digest, size): no payload moves, and rows of a digest are counted before the shuffle.
     """
-    light = pages.where(F.octet_length("payload") >= LEAST).select("page_id", F.sha1("payload").alias("digest"))
-    groups = light.groupBy("digest").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1 and best is not null").select("digest", "best")
-    return light.distinct().join(groups, "digest")
+    worth = light.where(F.col("size") >= LEAST).select("page_id", "digest")
+    groups = worth.groupBy("digest").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1 and best is not null").select("digest", "best")
+    return worth.distinct().join(groups, "digest")
 
 
-def write(pages: DataFrame, folder: str, roll: int = ROLL, shard_bytes: int = SHARD_BYTES) -> dict:
+class Cells:
+    """Where the rows of (page_id, digest) lie: a tree of histograms whose leaves are in order.
+
+    The first histogram has FAN cells of equal width between the smallest and the largest id, and
+    a cell ahead of them for null ids. A cell of more than half a shard's bytes is cut again,
+    between the ids it really holds, so an outlier or a dense stretch costs one level more; a cell
+    of a single id is cut by its payloads' digests. What remains in one cell are rows of one id
+    and one payload (or digests that share 32 bits). Levels follow the ids' 64 bits, cells the
+    table's bytes divided by a shard's: FAN + 16 * SHARDS at most, which bounds the charts sent out.
+    """
+
+    def __init__(self, light: DataFrame, shard_bytes: int):
+        self.spark = light.sparkSession
+        self.levels: list[tuple[list, list]] = []
+        low, high, total = light.agg(F.min("page_id"), F.max("page_id"), F.sum(F.col("size") + 500)).first()
+        self.shard_bytes = max(shard_bytes, -(-(total or 0) // SHARDS))
+        leaves: dict[tuple, int] = {}  # the path of a cell, and its bytes
+        todo = {0: ((), low or 0, high or 0, FAN, False)}  # node: path, ids from and to, cells, one id
+        while todo:
+            spec = []
+            for node, (_, lo, hi, fan, single) in todo.items():
+                width = -(-(1 << 32) // fan) if single else -(-(hi - lo + 1) // fan)
+                spec.append((node, "digest" if single else "id" if hi - lo < 1 << 62 else "wide", lo, float(width), min(width, (1 << 63) - 1)))
+            at = self._cell(light, [*self.levels, (spec, [])])
+            got = at.groupBy("node", "cell").agg(F.sum(F.col("size") + 500), F.min("page_id"), F.max("page_id")).collect()  # one row a cell
+            chart, later = [], {}
+            for node, cell, size, lo, hi in sorted(got, key=lambda r: (r[0], r[1])):
+                path, _, _, _, single = todo[node]
+                path = (*path, cell)
+                if size * 2 > self.shard_bytes and not single:
+                    later[n := len(later)] = (path, lo or 0, hi or 0, max(2, min(FAN, 8 * -(-size // self.shard_bytes))), lo == hi)
+                    chart.append((node, cell, n, path))
+                else:
+                    leaves[path] = size
+                    chart.append((node, cell, None, path))
+            self.levels.append((spec, chart))
+            todo = later
+        self.shard_of, shard, full = {}, 0, 0
+        for path in sorted(leaves):
+            if full and full + leaves[path] > self.shard_bytes:
+                shard, full = shard + 1, 0
+            full += leaves[path]
+            self.shard_of[path] = shard
+        self.shards = shard + 1
+
+    def _cell(self, rows: DataFrame, levels: list, with_leaf: bool = False) -> DataFrame:
+        """rows at the last level's nodes with their cells, or with_leaf all rows with their shards."""
+        out, done = rows.withColumn("node", F.lit(0)), []
+        if with_leaf:
+            out = out.withColumn("shard", F.lit(None).cast("int"))
+        for spec, chart in levels:
+            specs = self.spark.createDataFrame(spec, "node int, how string, low long, wide double, width long")
+            out = out.join(F.broadcast(specs), "node", "left" if with_leaf else "inner")
+            by_digest = F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") / F.col("width"))
+            by_id = F.when(F.col("how") == "id", F.expr("(page_id - low) div width")).otherwise(F.floor((F.col("page_id").cast("double") - F.col("low").cast("double")) / F.col("wide")))
+            by_id = F.when(F.col("page_id").isNull(), F.lit(0)).otherwise(by_id + 1)
+            out = out.withColumn("cell", F.when(F.col("how") == "digest", by_digest).otherwise(by_id).cast("long")).drop("how", "low", "wide", "width")
+            if chart:
+                known = [(n, c, to, self.shard_of[p] if with_leaf and to is None else None) for n, c, to, p in chart]
+                charts = self.spark.createDataFrame(known, "node int, cell long, to int, leaf int")
+                out = out.join(F.broadcast(charts), ["node", "cell"], "left").drop("node", "cell").withColumnRenamed("to", "node")
+                out = out.withColumn("shard", F.coalesce("shard", "leaf")).drop("leaf") if with_leaf else out.drop("leaf")
+        return out
+
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        return self._cell(rows, self.levels, True).drop("node")
+
+
+def write(pages: DataFrame, folder: str, settle: Settled | None = None, roll: int = ROLL, shard_bytes: int = SHARD_BYTES) -> dict:
     """Write pages(page_id, url, html) as WARC files under ``folder`` and return the manifest.
 
     Of equal payloads of LEAST bytes or more, the record of the largest page_id is the response
     and the others revisit it; rows that repeat that page_id as well are revisits too, but one.
     Null html is an empty payload, a null url an empty one, a null page_id sorts first; where
-    all rows of a group have a null page_id, each is a response.
+    all rows of a group have a null page_id, each is a response. Any 64-bit id will do. An empty
+    table gives a manifest without files. Other columns of pages are not written.
     """
     spark = pages.sparkSession
     big_batches(spark)
+    settle = (settle or Settled(spark, "warc")).part()
+    folder = _named(spark, folder)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.encode(F.col("html").cast("string"), "utf-8"), F.lit(b"")).alias("payload"))
-    ends = rows.agg(F.min("page_id"), F.max("page_id")).first()
-    low, width = ends[0] or 0, max(1, -(-((ends[1] or 0) - (ends[0] or 0) + 1) // BUCKETS))
-    bucket = F.when(F.col("page_id").isNull(), 0).otherwise(F.floor((F.col("page_id") - low) / width)).cast("int")
-    sizes = dict(rows.select(bucket.alias("b"), F.octet_length("payload").alias("n")).groupBy("b").agg((F.sum(F.coalesce("n", F.lit(0)) + 500)).alias("n")).collect())  # BUCKETS rows at most
-    shard, full, cuts = 0, 0, []
-    for b in sorted(sizes):
-        if full and full + sizes[b] > shard_bytes:
-            shard, full = shard + 1, 0
-        full += sizes[b]
-        cuts.append((b, shard))
-    if not cuts:
-        cuts = [(0, 0)]
-    n = shard + 1
-    # A key for each shard that hash partitioning sends to a partition of its own.
-    keys = spark.range(30 * n + 100).select(F.pmod(F.hash("id"), F.lit(n)).alias("p"), "id").groupBy("p").agg(F.min("id").alias("id")).collect()  # n rows, BUCKETS at most
-    key_of = {r["p"]: r["id"] for r in keys}
-    chart = F.broadcast(spark.createDataFrame([(b, s, key_of.get(s, s)) for b, s in cuts], "b int, shard int, key long"))
+    rows = rows.withColumn("digest", F.sha1("payload"))
+    light = settle(rows.select("page_id", "digest", F.octet_length("payload").cast("long").alias("size")))
+    cells = Cells(light, shard_bytes)
+    n = cells.shards
     # What a page revisits travels as rows of its own, ahead of it, so payloads are shuffled once.
-    told = plan(rows).select("page_id", F.lit(0).alias("place"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "best")
-    both = told.unionByName(rows.select("page_id", F.lit(1).alias("place"), "url", "payload", F.sha1("payload").alias("digest"), F.lit(None).cast("long").alias("best")))
-    both = both.withColumn("b", bucket).join(chart, "b").drop("b")
-    placed = both.repartition(n, "key").sortWithinPartitions("shard", "page_id", "place", "url", "digest")
+    told = plan(light).select("page_id", F.lit(0).alias("place"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "best")
+    both = told.unionByName(rows.select("page_id", F.lit(1).alias("place"), "url", "payload", "digest", F.lit(None).cast("long").alias("best")))
+    # A key for each shard that hash partitioning sends to a partition of its own.
+    keys = spark.range(30 * n + 100).select(F.pmod(F.hash("id"), F.lit(n)).alias("p"), "id").groupBy("p").agg(F.min("id").alias("id")).collect()  # n rows
+    key_of = spark.createDataFrame([(r["p"], r["id"]) for r in keys], "shard int, key long")
+    dealt = cells.dealt(both).join(F.broadcast(key_of), "shard", "left").withColumn("key", F.coalesce("key", "shard"))
+    placed = dealt.repartition(n, "key").sortWithinPartitions("shard", "page_id", "digest", "place", "url")
     store, root = _store(folder)
     store.create_dir(root, recursive=True)
 
@@ -141,15 +213,14 @@ def write(pages: DataFrame, folder: str, roll: int = ROLL, shard_bytes: int = SH
             _publish(store, f"{root}/{name}", data)
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(data)]), pa.array([state["n"]]), pa.array([hashlib.sha256(data).hexdigest()])], names=["name", "bytes", "records", "sha256"])
 
-        last, twin, seen, of, revisits = None, 0, set(), None, {}
+        last, twin, of, best, first = None, 0, None, None, True
         for batch in batches:
             for digest, page, url, html, told, shard in zip(*(batch.column(c).to_pylist() for c in ("digest", "page_id", "url", "payload", "best", "shard"))):
+                if (page, digest) != of:
+                    of, best, first = (page, digest), None, True
                 if html is None:
-                    if page != of:
-                        of, revisits = page, {}
-                    revisits[digest] = told
+                    best = told
                     continue
-                best = revisits.get(digest) if page == of else None
                 if state["shard"] is not None and (state["shard"] != shard or state["out"].tell() >= roll):
                     yield close()
                     state = {"shard": shard, "file": state["file"] + 1 if state["shard"] == shard else 0, "out": io.BytesIO(_info()), "n": 0}
@@ -159,12 +230,9 @@ def write(pages: DataFrame, folder: str, roll: int = ROLL, shard_bytes: int = SH
                     state["out"].seek(0, os.SEEK_END)
                 here = (page, url, digest)
                 twin = twin + 1 if here == last else 0
-                if last is None or last[0] != page:
-                    seen = set()  # payloads that this page_id has had
-                chosen = best == page and digest not in seen
-                seen.add(digest)
                 last = here
-                state["out"].write(record(page, url, html, best, best is not None and not chosen, twin))
+                state["out"].write(record(page, url, html, best, best is not None and not (best == page and first), twin))
+                first = False
                 state["n"] += 1
         if state["shard"] is not None:
             yield close()
@@ -195,10 +263,11 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     """(page_id, url, record_type, refers_to, payload_bytes, payload_digest, html) of the files that
     the manifest under ``folder`` lists. Block digests, and payload digests of responses, are
     verified; a record that does not agree with its header raises ValueError."""
+    folder = _named(spark, folder)
     store, root = _store(folder)
     with store.open_input_stream(f"{root}/manifest.json") as f:
         names = [x["name"] for x in json.loads(f.read())["files"]]
-    files = spark.createDataFrame([(n,) for n in names], "name string")
+    files = spark.createDataFrame([(n,) for n in names], "name string")  # one row a file, as many as the manifest lists
     files = files.repartition(max(1, len(names)), F.xxhash64("name"))
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, html binary"
 
