@@ -11,18 +11,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Settled
+from .common import HOT, Settled, meet
 
-_DOC = ["doc", "h"]
+_DOC, _NAME = ["doc", "h"], ["name", "name2"]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows.select("doc", "h", "pos", F.xxhash64("line").alias("name"), F.regexp_count("line", F.lit(r"\S+")).alias("words"))
+    return rows.select("doc", "h", "pos", F.xxhash64("line").alias("name"), F.xxhash64(F.lit("line"), "line").alias("name2"), F.regexp_count("line", F.lit(r"\S+")).alias("words"))
+
+
+def _below(counts: DataFrame, group: str, by: str, n: str, width: int) -> DataFrame:
+    """counts with below: the sum of n over the rows of the same group with a smaller ``by``.
+
+    Groups are cut into ranges of ``width`` of by; ranges are summed first, so a group with very
+    many rows is not added up in one task.
+    """
+    at = counts.withColumn("range", F.floor(F.col(by) / width))
+    sums = at.groupBy(group, "range").agg(F.sum(n).alias("in_range"))
+    before = sums.withColumn("base", F.sum("in_range").over(Window.partitionBy(group).orderBy("range")) - F.col("in_range")).drop("in_range")
+    inner = F.sum(n).over(Window.partitionBy(group, "range").orderBy(by)) - F.col(n)
+    return at.withColumn("inner", inner).join(before, [group, "range"]).withColumn("below", F.col("base") + F.col("inner")).drop("range", "inner", "base")
 
 
 def _ranks(names: DataFrame) -> DataFrame:
-    """(name, rank): how many suffixes begin with a smaller name. names: name, n.
+    """names(name, name2, n) with rank: how many suffixes begin with a smaller name.
 
     Names are uniform hashes, so their top 12 bits deal them into 4096 even, ordered buckets;
     only the buckets' sums meet in one task.
@@ -30,18 +43,21 @@ def _ranks(names: DataFrame) -> DataFrame:
     at = names.withColumn("bucket", F.shiftright("name", 52))
     sums = at.groupBy("bucket").agg(F.sum("n").alias("n"))
     before = sums.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("base"))
-    inner = F.sum("n").over(Window.partitionBy("bucket").orderBy("name")) - F.col("n")
-    return at.withColumn("inner", inner).join(F.broadcast(before), "bucket").select("name", (F.col("base") + F.col("inner")).alias("rank"))
+    inner = F.sum("n").over(Window.partitionBy("bucket").orderBy(*_NAME)) - F.col("n")
+    return at.withColumn("inner", inner).join(F.broadcast(before), "bucket").select(*_NAME, "n", (F.col("base") + F.col("inner")).alias("rank"))
+
 
+def _doubled(suffixes: DataFrame, step: int, total: int) -> DataFrame:
+    """Ranks by twice as many lines, of the suffixes that some other suffix still equals.
 
-def _doubled(suffixes: DataFrame, step: int) -> DataFrame:
-    """Ranks by twice as many lines, of the suffixes that some other suffix still equals."""
+    Of the names that follow a rank, only those that follow it more than once are counted:
+    their places stay below the number of suffixes of that rank, so ranks stay distinct and in order.
+    """
     right = suffixes.select("sid", (F.col("off") - step).alias("off"), F.col("rank").alias("next"))
     pairs = suffixes.join(right, ["sid", "off"])
-    sizes = pairs.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n"))
-    lower = F.sum("n").over(Window.partitionBy("rank").orderBy("next")) - F.col("n")
-    new = sizes.withColumn("new", F.col("rank") + lower).where("n > 1").select("rank", "next", "new")
-    return pairs.join(new, ["rank", "next"]).select("sid", "off", F.col("new").alias("rank"))
+    sizes = pairs.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    new = _below(sizes, "rank", "next", "n", max(1, total // HOT)).select("rank", "next", "n", (F.col("rank") + F.col("below")).alias("new"))
+    return meet(pairs, new, ["rank", "next"], total).select("sid", "off", F.col("new").alias("rank"))
 
 
 def repeated_runs(docs: DataFrame, settle: Settled, min_words: int = 50) -> DataFrame:
@@ -49,27 +65,28 @@ def repeated_runs(docs: DataFrame, settle: Settled, min_words: int = 50) -> Data
 
     A run of consecutive lines counts if it has ``min_words`` words and occurs before, in the
     order of (doc, hash of the text, line); occurrences may overlap. Lines are equal if their
-    bytes are (by a 64-bit hash). ``first`` and ``last`` count lines from 0.
+    bytes are (by two 64-bit hashes; 1e11 lines have a chance of 1e-17 that two unlike ones
+    agree). ``first`` and ``last`` count lines from 0.
     """
     settle = settle.part()
     lines = settle(_lines(docs).dropDuplicates([*_DOC, "pos"]))
-    often = lines.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    kept = lines.join(often.select("name"), "name", "left_semi")
+    often = settle(lines.groupBy(*_NAME).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    kept = meet(lines, often, _NAME, lines.count()).drop("n")
     by_doc = Window.partitionBy(*_DOC).orderBy("pos")
     kept = settle(kept.withColumn("run", F.col("pos") - F.row_number().over(by_doc)))
     # A stretch of lines that each occur elsewhere; a repeated run lies within one.
-    marks = [F.bit_xor(F.xxhash64("name", F.col("pos") - F.col("start"), F.lit(k))).alias(f"m{k}") for k in (1, 2)]
+    marks = [F.bit_xor(F.xxhash64(*_NAME, F.col("pos") - F.col("start"), F.lit(k))).alias(f"m{k}") for k in (1, 2)]
     starts = kept.groupBy(*_DOC, "run").agg(F.min("pos").alias("start"), F.count(F.lit(1)).cast("int").alias("len"), F.sum("words").alias("total")).where(F.col("total") >= min_words)
     placed = settle(_null_safe(kept, starts, [*_DOC, "run"]))
-    whole = placed.groupBy(*_DOC, "start", "len").agg(*marks)
+    whole = settle(placed.groupBy(*_DOC, "start", "len").agg(*marks))
     place = F.struct(*_DOC, "start")
-    first = whole.groupBy("len", "m1", "m2").agg(F.min(place).alias("at"))
-    whole = settle(whole.join(first, ["len", "m1", "m2"]).withColumn("copy", ~place.eqNullSafe(F.col("at"))))
+    first = settle(whole.groupBy("len", "m1", "m2").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n")))
+    whole = settle(meet(whole, first, ["len", "m1", "m2"], whole.count()).withColumn("copy", ~place.eqNullSafe(F.col("at"))))
     copies = whole.where("copy").select(*_DOC, F.col("start").alias("pos"), "len")
 
     unique = settle(whole.where("not copy").select(*_DOC, "start", "len", F.monotonically_increasing_id().alias("sid")))
-    line = _null_safe(placed.select(*_DOC, "start", "pos", "name", "words"), unique.select(*_DOC, "start", "sid"), [*_DOC, "start"])
-    line = settle(line.select("sid", (F.col("pos") - F.col("start")).alias("off"), "name", "words"))
+    line = _null_safe(placed.select(*_DOC, "start", "pos", *_NAME, "words"), unique.select(*_DOC, "start", "sid"), [*_DOC, "start"])
+    line = settle(line.select("sid", (F.col("pos") - F.col("start")).alias("off"), *_NAME, "words"))
     # Words before each line of a stretch, and after its last: the places where a window can end.
     ends = unique.select("sid", F.col("len").alias("off"), F.lit(0).alias("words"))
     before = F.sum("words").over(Window.partitionBy("sid").orderBy("off")) - F.col("words")
@@ -82,8 +99,9 @@ def repeated_runs(docs: DataFrame, settle: Settled, min_words: int = 50) -> Data
     spans = settle(spans.withColumn("level", F.floor(F.log2(F.col("len").cast("double"))).cast("int")))
     top = spans.agg(F.max("level")).first()[0]
 
-    rank = _ranks(line.groupBy("name").agg(F.count(F.lit(1)).alias("n")))
-    suffixes = settle(line.select("sid", "off", "name").join(rank, "name").select("sid", "off", "rank"))
+    rank = settle(_ranks(line.groupBy(*_NAME).agg(F.count(F.lit(1)).alias("n"))))
+    total = line.count()
+    suffixes = settle(meet(line.select("sid", "off", *_NAME), rank, _NAME, total).select("sid", "off", "rank"))
     found = [copies]
     level = 0
     while top is not None and level <= top:
@@ -91,12 +109,13 @@ def repeated_runs(docs: DataFrame, settle: Settled, min_words: int = 50) -> Data
         tail = suffixes.select("sid", (F.col("off") + F.lit(1 << level)).alias("end"), F.col("rank").alias("tail"))
         here = here.withColumn("end", F.col("off") + F.col("len")).join(tail, ["sid", "end"])
         here = _place(here.select("sid", "off", "len", "rank", "tail"), unique)
-        interval = here.groupBy("len", "rank", "tail").agg(F.min(F.struct(*_DOC, "pos")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        later = here.join(interval, ["len", "rank", "tail"]).where(~F.struct(*_DOC, "pos").eqNullSafe(F.col("at")))
+        here = settle(here)
+        interval = settle(here.groupBy("len", "rank", "tail").agg(F.min(F.struct(*_DOC, "pos")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+        later = meet(here, interval, ["len", "rank", "tail"], here.count()).where(~F.struct(*_DOC, "pos").eqNullSafe(F.col("at")))
         found.append(settle(later.select(*_DOC, "pos", "len")))
         level += 1
         if level <= top:
-            suffixes = settle(_doubled(suffixes, 1 << (level - 1)))
+            suffixes = settle(_doubled(suffixes, 1 << (level - 1), total))
             if suffixes.isEmpty():
                 break
     gone = found[0]
