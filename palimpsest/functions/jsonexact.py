@@ -11,7 +11,14 @@ from pyspark.sql import functions as F
 
 from .errors import HistoryError
 
-ABSENT = object()
+
+
+class _Absent:
+    def __reduce__(self) -> str:
+        return "ABSENT"  # one object in every process, as it is told by identity
+
+
+ABSENT = _Absent()
 
 
 class Number(str):
@@ -24,14 +31,14 @@ class Number(str):
         return (sign, short, exponent + len(text) - len(short)) if short else (0, "", 0)
 
 
-def _refuse(token: str):
+def refuse(token: str):
     raise ValueError(f"{token} is not JSON")
 
 
 def decode(data: str | bytes | None) -> dict:
     """A document. Null is an empty object; anything else that is no object is a codec error."""
     try:
-        out = json.loads(data or "", parse_int=Number, parse_float=Number, parse_constant=_refuse)
+        out = json.loads(data or "", parse_int=Number, parse_float=Number, parse_constant=refuse)
     except (ValueError, RecursionError) as e:
         raise HistoryError("codec", str(e)) from None
     if out is None:
@@ -122,3 +129,15 @@ def diff(a, b, at: str = ""):
             yield f"{at}/{token}", "removed", x, None
         else:
             yield from diff(x, y, f"{at}/{token}")
+
+
+class Codec:
+    """How payloads are read: a subclass with its own ``decode`` to plain values reads another format."""
+
+    def decode(self, data: str | bytes | None) -> dict:
+        return decode(data)
+
+    def changes(self, a: str | bytes | None, b: str | bytes | None) -> list[tuple]:
+        """(path, op, old, new) between two payloads; None is a state that was not there."""
+        both = diff({} if a is None else self.decode(a), {} if b is None else self.decode(b))
+        return [(path, op, None if op == "added" else encode(old), None if op == "removed" else encode(new)) for path, op, old, new in both]

@@ -16,10 +16,15 @@ from ..functions.errors import HistoryError
 ORDER = ["tx_from", "valid_from", "id"]
 
 
+def record_id() -> Column:
+    """A record's name: its origin write, where on both axes it begins, and a mark of its entity. The same
+    however the writes were cut into batches, so order and cursors do not depend on that."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp")).cast("string")
+    return F.concat(F.lpad(F.col("k").cast("string"), 12, "0"), F.lit("-"), micros("tx_from"), F.lit("-"), F.coalesce(micros("valid_from"), F.lit("min")), F.lit("-"), F.substring(F.sha2(F.concat("kind", F.lit("\x1f"), "entity_id"), 256), 1, 10))
+
+
 def with_ids(records: DataFrame) -> DataFrame:
-    """A stable id: the origin write and the record's number among that write's records."""
-    n = F.row_number().over(Window.partitionBy("kind", "entity_id", "k").orderBy("tx_from", "valid_from"))
-    return records.withColumn("id", F.concat(F.lpad(F.col("k").cast("string"), 12, "0"), F.lit("-"), F.lpad(n.cast("string"), 4, "0")))
+    return records.withColumn("id", record_id())
 
 
 @dataclass

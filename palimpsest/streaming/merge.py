@@ -2,44 +2,30 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.merge import COLUMNS, replay
-from ..operators.read import with_ids
+from ..operators.merge import increment
 from ..sources.store import Store
 
 
-def increment(current: DataFrame | None, writes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(inserts, closures) that a batch of writes makes on the open records.
-
-    Open records replay as writes at their own instants, ahead of the batch: they are disjoint,
-    so none closes another. Of what comes out, records born in the batch are inserts; an open
-    record that is no longer in the result as it was has been closed at the instant of the
-    first write that touched it. Work follows open tiles and new writes, not history.
-    """
-    if current is None:
-        return with_ids(replay(writes)), None
-    touched = current.join(writes.select("kind", "entity_id").distinct(), ["kind", "entity_id"], "left_semi")
-    old = touched.select("kind", "entity_id", (F.col("k") - F.lit(1 << 62)).alias("k"), F.col("tx_from").alias("tx"), "valid_from", "valid_to", "intent", "actor", "data")
-    out = replay(old.unionByName(writes.select(old.columns)))
-    was = F.col("k") < F.lit(-(1 << 61))
-    origin = F.when(was, F.col("k") + F.lit(1 << 62)).otherwise(F.col("k"))
-    out = out.withColumn("k", origin)
-    key = [out[c].eqNullSafe(touched[c]) for c in ("kind", "entity_id", "k", "tx_from", "valid_from", "valid_to")]
-    same = key[0] & key[1] & key[2] & key[3] & key[4] & key[5]
-    closures = touched.join(out.where("tx_to is not null").select(*[F.col(c) for c in COLUMNS]), same, "inner").select(touched["id"], out["tx_to"])
-    born = out.join(touched, same, "left_anti")
-    return born.withColumn("id", F.concat(F.lpad(F.col("k").cast("string"), 12, "0"), F.lit("-"), F.unix_micros(F.col("tx_from").cast("timestamp")).cast("string"), F.lit("-"), F.coalesce(F.unix_micros(F.col("valid_from").cast("timestamp")).cast("string"), F.lit("min")))), closures
-
-
 def start(writes: DataFrame, store: Store, checkpoint: str, **trigger) -> StreamingQuery:
-    """Maintain ``store`` from a streaming DataFrame of writes. A replayed batch is a no-op."""
+    """Maintain ``store`` from a streaming DataFrame of writes. A replayed batch is a no-op: batches are known by
+    the query's id, which lives in its checkpoint, and their number, so two streams, or one that is
+    begun again on a fresh checkpoint, are never taken for each other."""
+    known, named = [], threading.Event()
 
     def upsert(batch: DataFrame, number: int) -> None:
+        named.wait(60)
         batch = batch.persist()
-        store.apply(lambda current: increment(current, batch), batch=f"stream-{number}")
-        batch.unpersist()
-
-    return writes.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        try:
+            store.apply(lambda current: increment(current, batch), batch=(known[0], number), entities=batch.select("kind", "entity_id"))
+        finally:
+            batch.unpersist()
+
+    query = writes.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    known.append(query.id)
+    named.set()
+    return query

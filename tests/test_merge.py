@@ -12,27 +12,20 @@ from palimpsest.streaming.merge import increment
 T = [datetime(2026, m, 1) for m in range(1, 7)]
 SCHEMA = "kind string, entity_id string, k long, tx timestamp_ntz, valid_from timestamp_ntz, valid_to timestamp_ntz, intent int, actor string, data string"
 N = None
-# (existing, incoming, resulting tiling of (who, from, to)); numbers are months, None is unbounded
-TAXONOMY = [
-    ((1, 3), (1, 3), [("new", 1, 3)]),
-    ((0, 5), (2, 3), [("old", 0, 2), ("new", 2, 3), ("old", 3, 5)]),
-    ((2, 3), (0, 5), [("new", 0, 5)]),
-    ((2, 5), (0, 3), [("new", 0, 3), ("old", 3, 5)]),
-    ((0, 3), (2, 5), [("old", 0, 2), ("new", 2, 5)]),
-    ((0, 2), (2, 4), [("old", 0, 2), ("new", 2, 4)]),
-    ((2, 4), (0, 2), [("new", 0, 2), ("old", 2, 4)]),
-    ((0, 1), (3, 4), [("old", 0, 1), ("new", 3, 4)]),
-    ((0, N), (2, 3), [("old", 0, 2), ("new", 2, 3), ("old", 3, N)]),
-    ((2, N), (0, 3), [("new", 0, 3), ("old", 3, N)]),
-    ((0, 3), (2, N), [("old", 0, 2), ("new", 2, N)]),
-    ((2, 3), (0, N), [("new", 0, N)]),
-    ((1, N), (3, N), [("old", 1, 3), ("new", 3, N)]),
-    ((3, N), (1, N), [("new", 1, N)]),
-    ((N, 5), (1, 3), [("old", N, 1), ("new", 1, 3), ("old", 3, 5)]),
-    ((N, N), (1, 3), [("old", N, 1), ("new", 1, 3), ("old", 3, N)]),
-    ((1, 3), (N, N), [("new", N, N)]),
-    ((N, 5), (N, 2), [("new", N, 2), ("old", 2, 5)]),
-]
+
+
+def relations():
+    """Every relation of two intervals with ends among three months or none, and the tiling that follows from it."""
+    low, high = -1, 9
+    ivs = [(a, b) for a in (N, 0, 2, 4) for b in (1, 2, 4, N) if (low if a is N else a) < (high if b is N else b)]
+    for old in ivs:
+        for new in ivs:
+            (a, b), (c, d) = ((low if x is N else x, high if y is N else y) for x, y in (old, new))
+            rest = [("old", x, y) for x, y in ((a, min(b, c)), (max(a, d), b)) if x < y] if a < d and c < b else [("old", a, b)]
+            yield old, new, [(w, N if x == low else x, N if y == high else y) for w, x, y in sorted([*rest, ("new", c, d)], key=lambda t: t[1])]
+
+
+RELATIONS = list(relations())
 
 
 def at(i):
@@ -44,13 +37,13 @@ def table(spark, rows):
 
 
 @pytest.mark.parametrize("how", ["replay", "merge_set"])
-def test_taxonomy(spark, how):
+def test_relations(spark, how):
     rows = []
-    for n, (old, new, _) in enumerate(TAXONOMY):
+    for n, (old, new, _) in enumerate(RELATIONS):
         for k, (who, iv) in enumerate((("old", old), ("new", new))):
             rows.append(("x", f"e{n}", k, datetime(2026, 1, 1, k), at(iv[0]), at(iv[1]), 0, "u", who))
     out = getattr(merge, how)(table(spark, rows)).where("tx_to is null").collect()
-    for n, (_, _, want) in enumerate(TAXONOMY):
+    for n, (_, _, want) in enumerate(RELATIONS):
         got = sorted(((r.data, r.valid_from, r.valid_to) for r in out if r.entity_id == f"e{n}"), key=lambda r: r[1] or datetime.min)
         assert got == [(w, at(a), at(b)) for w, a, b in want], n
 
