@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Settled, big_batches
+from .common import Settled, big_batches, block_pairs, meet
 from .components import components
 from .words import U64, chunks, mix, ngrams, sequence_hash, words
 
@@ -209,12 +209,15 @@ def near_duplicates(docs: DataFrame, settle: Settled, least: float = 0.8, n_word
     * Representatives that share a band are linked first to the bucket's smallest, and links
       count only if the exact probability Jaccard of their weighted shingles reaches ``least``.
       A bucket whose members are still in several components after that is compared pair by
-      pair in blocks, on signatures only, across components; pairs that agree in at least as
+      pair in blocks, on signatures only, across components: a large component has blocks of its
+      own, which meet those of others but not each other; pairs that agree in at least as
       many registers as a pair at ``least`` does but once in some ten thousand are verified too,
       in the comparing task itself if the bucket is large. So no link is lost to the star, and
       a group of thousands of copies costs one link each.
     * A document without words is alone; a text shorter than a shingle is one shingle.
-      Null texts have no words. Rows of one ``doc`` and different texts share its class.
+      Null texts have no words. Rows of one ``doc`` are one row of the result, and if their
+      texts differ they share its class; rows with a null ``doc`` have no name to report and are
+      left out. An empty table gives an empty result.
     """
     big_batches(docs.sparkSession)
     settle = settle.part()
@@ -245,20 +248,18 @@ def near_duplicates(docs: DataFrame, settle: Settled, least: float = 0.8, n_word
     found = components(links, settle)
     with_comp = entry.join(found.withColumnRenamed("id", "doc"), "doc", "left").select("doc", "key", F.coalesce("component", "doc").alias("component"))
     mixed = with_comp.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
-    mixed = mixed.where("lo < hi").select("key", (F.col("size") > SMALL).alias("hot"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    at = settle(with_comp.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("component", F.floor(F.pmod("doc", F.lit(97)) / 8)), F.col("blocks")).cast("int")))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side")
-    pairs = at.select("*", other).select("key", "doc", "component", "hot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), side)
+    mixed = settle(mixed.where("lo < hi").select("key", F.col("size").alias("n"), (F.col("size") > SMALL).alias("hot")))
+    at = settle(meet(with_comp, mixed, ["key"], entry.count()).select("key", F.col("doc").alias("id"), "component", "hot"))
+    pairs = block_pairs(at, "component", settle, BLOCK).withColumnRenamed("id", "doc")
     margin = int(REGISTERS * least - 4 * (REGISTERS * least * (1 - least)) ** 0.5)
-    few = pairs.where("not hot").join(rep.select("doc", "prints"), "doc").groupBy("key", "i", "j").applyInArrow(_across(margin, None), "src long, dst long").distinct()
+    few = pairs.where("not hot").join(rep.select("doc", "prints"), "doc").groupBy("key", "lo", "hi").applyInArrow(_across(margin, None), "src long, dst long").distinct()
     few = settle(few.join(stars, ["src", "dst"], "left_anti"))
     more = [verify(few).select("src", "dst")]
-    hot = at.where("hot").select("doc").distinct()
+    hot = at.where("hot").select(F.col("id").alias("doc")).distinct()
     if not hot.isEmpty():
         sets = settle(texts_of(hot).mapInArrow(_packed(n_words), "doc long, set binary"))
         full = pairs.where("hot").join(rep, "doc").join(sets, "doc")
-        more.append(settle(full.groupBy("key", "i", "j").applyInArrow(_across(margin, least), "src long, dst long")))
+        more.append(settle(full.groupBy("key", "lo", "hi").applyInArrow(_across(margin, least), "src long, dst long")))
         settle.drop(sets)
     for m in more:
         links = links.union(m)
