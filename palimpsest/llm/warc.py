@@ -29,7 +29,7 @@ from .common import Settled, big_batches
 DATE = "2000-01-01T00:00:00Z"  # a fixed capture date: the same rows give the same bytes
 ROLL, SHARD_BYTES = 32 << 20, 64 << 20
 SHARDS = 1 << 14  # shards at most, but for single rows that are larger; a shard of a larger table is larger
-FAN = 1 << 16  # cells of a histogram
+FAN = 1 << 14  # cells of a histogram
 LEAST = 1000  # bytes of a payload that is worth a revisit record
 
 
@@ -156,9 +156,13 @@ class Cells:
         out, done = rows.withColumn("node", F.lit(0)), []
         if with_leaf:
             out = out.withColumn("shard", F.lit(None).cast("int"))
-        for spec, chart in levels:
-            specs = self.spark.createDataFrame(spec, "node int, how string, low long, wide double, width long")
-            out = out.join(F.broadcast(specs), "node", "left" if with_leaf else "inner")
+        for depth, (spec, chart) in enumerate(levels):
+            names = ("node", "how", "low", "wide", "width")
+            if depth:
+                specs = self.spark.createDataFrame(spec, "node int, how string, low long, wide double, width long")
+                out = out.join(F.broadcast(specs), "node", "left" if with_leaf else "inner")
+            else:  # all rows are at the root
+                out = out.withColumns({k: F.lit(v) for k, v in zip(names[1:], spec[0][1:])})
             by_digest = F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") / F.col("width"))
             by_id = F.when(F.col("how") == "id", F.expr("(page_id - low) div width")).otherwise(F.floor((F.col("page_id").cast("double") - F.col("low").cast("double")) / F.col("wide")))
             by_id = F.when(F.col("page_id").isNull(), F.lit(0)).otherwise(by_id + 1)
