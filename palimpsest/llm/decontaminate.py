@@ -6,7 +6,8 @@ passages, windows of words over whole documents. Impacts are divided by an item'
 own text, so one threshold serves all items. Each passage has a cursor on each of its terms'
 postings and walks them as WAND does: the pivot is the first item that the terms' largest impacts
 could bring to the threshold; if the blocks around it cannot, all cursors before it skip to the
-end of the nearest block; else the pivot is scored. The walks of a batch of passages are taken
+end of the nearest block; else the pivot is scored. Passages that no range of items could bring to
+the threshold, by the maxima of a few wide blocks, do not set out. The walks of a batch of passages are taken
 together, a step of each at a time, as array operations.
 """
 
@@ -24,6 +25,7 @@ from .words import Words, chunks, distinct, ngrams, words
 
 BLOCK = 8  # postings in a block
 SHARD_BYTES = 16 << 20  # text of an index that is sent to executors, some 40 times which it takes in memory at most
+RANGES = 32  # into which the items of an index are cut, however many they are
 STRIDE = 64  # words between windows for items of up to so many words; longer items have classes of their own
 K1, B = 1.2, 0.75
 
@@ -37,6 +39,7 @@ class Index:
     impact: np.ndarray
     key: np.ndarray  # term * items + item of each posting, ascending
     top: np.ndarray  # the largest impact of each term
+    coarse: np.ndarray  # the same in each of RANGES ranges of items
     block_of: np.ndarray  # the first block of each term
     last: np.ndarray  # of each block: its last item, and its largest impact
     peak: np.ndarray
@@ -67,7 +70,9 @@ def build(items: list[tuple[int, str, int]], df: dict[int, int], n: int, mean: f
     block_of = np.cumsum(blocks) - blocks
     first = np.repeat(start[:-1] - block_of * BLOCK, blocks) + np.arange(blocks.sum()) * BLOCK
     ends = np.append(first[1:], len(item))
-    out = Index(np.array([items[k][0] for k in order], np.int64), terms, start, item, impact, key, np.maximum.reduceat(impact, start[:-1]), block_of, item[ends - 1], np.maximum.reduceat(impact, first), [], [], [], np.zeros(many, np.int64), STRIDE)
+    coarse = np.zeros((len(terms), RANGES), np.float32)
+    np.maximum.at(coarse, (term, item * RANGES // many), impact)
+    out = Index(np.array([items[k][0] for k in order], np.int64), terms, start, item, impact, key, np.maximum.reduceat(impact, start[:-1]), coarse, block_of, item[ends - 1], np.maximum.reduceat(impact, first), [], [], [], np.zeros(many, np.int64), STRIDE)
     for place, k in enumerate(order):
         own = part.hashes[part.first[k] : part.first[k + 1]]
         size = max(1, min(n_words, len(own)))
@@ -120,8 +125,12 @@ def search(index: Index, part: Words, threshold: float, at_once: int = 1 << 12):
     if not len(key):
         return
     cut = np.flatnonzero(np.diff(window, prepend=-1))
-    could = np.add.reduceat(index.top[term], cut) >= threshold - 1e-4  # no pivot at all in the others
     size = np.diff(np.append(cut, len(key)))
+    could = np.add.reduceat(index.top[term], cut) >= threshold - 1e-4  # no pivot at all in the others
+    for lo in range(0, len(cut), at_once):  # nor one that a whole range of items could bring to the threshold
+        hi = min(lo + at_once, len(cut))
+        end = cut[hi] if hi < len(cut) else len(key)
+        could[lo:hi] &= (np.add.reduceat(index.coarse[term[cut[lo] : end]], cut[lo:hi] - cut[lo], axis=0) >= threshold - 1e-4).any(axis=1)
     some = np.repeat(could, size)
     window, term, size = window[some], term[some], size[could]
     ends = np.cumsum(size)
