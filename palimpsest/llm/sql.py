@@ -45,4 +45,15 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 A
 FROM b
 """
 
-ORACLES: dict[str, str] = {"op6_chat_formatting": _CHAT, "op7_warc": _WARC, "op9_line_dedup": _LINES}
+# Every pair of vectors, and labels that sink along links until they rest.
+_NEAR = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.r AS x, b.r AS y, b.vec_id FROM u a JOIN u b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+c(r, low) AS (SELECT r, vec_id FROM u UNION SELECT p.y, c.low FROM c JOIN p ON p.x = c.r),
+n AS (SELECT x, count(*) AS n FROM p GROUP BY 1), m AS (SELECT r, min(low) AS low FROM c GROUP BY 1)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(m.low, v.vec_id) AS component_id, v.vec_id IS NOT DISTINCT FROM coalesce(m.low, v.vec_id) AS kept
+FROM v LEFT JOIN n ON n.x = v.r LEFT JOIN m ON m.r = v.r
+"""
+
+ORACLES: dict[str, str] = {"op2_embedding_near_dedup": _NEAR, "op6_chat_formatting": _CHAT, "op7_warc": _WARC, "op9_line_dedup": _LINES}

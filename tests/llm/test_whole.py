@@ -300,3 +300,18 @@ def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_dir(Far())
+
+
+@pytest.mark.parametrize("name", ["op2_embedding_near_dedup", "op6_chat_formatting", "op7_warc", "op9_line_dedup"])
+def test_queries_against_their_sql(spark, name):
+    import duckdb
+
+    from palimpsest.llm.sql import ORACLES
+
+    c = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations", "pages"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, SF)
+    names = sorted(got.columns)
+    want = c.sql(f"SELECT {', '.join(names)} FROM ({ORACLES[name]})").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.select(names).collect())
