@@ -1,4 +1,12 @@
-"""A corpus pipeline: five stages, each written as Parquet and read again as the next one's documents."""
+"""A corpus pipeline: five stages, each written as Parquet and read again as the next one's documents.
+
+Null and empty texts pass as documents without words, unless the classifier rejects them. Rows
+that repeat an id are kept or dropped together where a stage decides by id (MinHash, benchmark),
+and each for itself elsewhere; rows with a null id are never taken for copies nor for
+contaminated. Ties fall to the smallest id. Columns of documents beyond the usual ones pass
+through to the last stage but one; a column called _quality, ld_lines, ld_removed or ld_runs would
+be taken for a stage's own and must have another name. An empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -46,7 +54,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality_classifier), ("line dedup", lines), ("MinHash near-dedup", minhash), ("benchmark decontamination", decontamination), ("byte-level BPE", byte_bpe)]
 
-# Trained scores and hashed registers have no SQL form; tests/llm hold each stage against plain Python.
+# Trained scores and hashed registers have no SQL form; tests/llm/test_whole.py holds each stage against plain Python.
 ORACLE_SQL = None
 
 
