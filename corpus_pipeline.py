@@ -4,8 +4,8 @@ Null and empty texts pass as documents without words, unless the classifier reje
 that repeat an id are kept or dropped together where a stage decides by id (MinHash, benchmark),
 and each for itself elsewhere; rows with a null id are never taken for copies nor for
 contaminated. Ties fall to the smallest id. Columns of documents beyond the usual ones pass
-through to the last stage but one; a column called _quality, ld_lines, ld_removed or ld_runs would
-be taken for a stage's own and must have another name. An empty table gives an empty table.
+through to the last stage but one; of these, ld_lines, ld_removed and ld_runs get what line dedup
+counted. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,7 +23,10 @@ from palimpsest.llm.minhash import near_duplicates
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more stay as they are."""
     model = quality.train(docs, table(spark, sf_dir, "labels"), "quality", lambda c: crc_mod(c, 3) != 1)
-    return quality.score(docs, model, name="_quality").where("_quality >= 0.5").drop("_quality")
+    name = "_quality"
+    while name in docs.columns:
+        name += "_"
+    return quality.score(docs, model, name=name).where(F.col(name) >= 0.5).drop(name)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
