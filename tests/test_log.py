@@ -41,9 +41,14 @@ def clock():
     return Clock(day(2025, 1))
 
 
+@pytest.fixture
+def store(spark, tmp_path, clock):
+    return Store(spark, f"file://{tmp_path}/log", clock)
+
+
 @pytest.fixture(params=["memory", "parquet"])
-def store(request, spark, tmp_path, clock):
-    return MemoryStore(spark, clock) if request.param == "memory" else Store(spark, f"file://{tmp_path}/log", clock)
+def either(request, spark, store, clock):
+    return MemoryStore(spark, clock) if request.param == "memory" else store
 
 
 def values(rows, *names):
@@ -114,8 +119,8 @@ def test_a_field_recorded_in_error(store, clock):
         log.diff("employee", "cy", at, As(day(2024, 6), day(2024, 4)))
 
 
-def test_refused_writes_change_nothing(store, clock):
-    log = Log(store, clock, kinds=["a"])
+def test_refused_writes_change_nothing(either, clock):
+    log = Log(either, clock, kinds=["a"])
     put = lambda kind="a", entity="e", a=None, b=None, actor=HR, **o: code(log.put, kind, entity, b"{}", a, b, actor, **o)
     assert put("b") == put("") == put("b", entity="") == "unknown_kind"
     assert put(entity="", actor={}) == "missing_entity_id" and put(actor={}, a=day(2025, 1), b=day(2025, 1)) == "missing_actor"
@@ -123,22 +128,22 @@ def test_refused_writes_change_nothing(store, clock):
     assert put(a=day(2025, 2), b=day(2025, 1)) == put(a=day(2025, 1), b=day(2025, 1), reason="\0") == "invalid_interval"
     assert put(meta={"palimpsest:x": "y", "z": "\0"}) == "reserved_meta" and put(meta={"z": "\0"}) == "invalid_meta"
     assert put(subject="s") == "no_keyring"
-    assert len(store) == 0 and log.query(Query()) == ([], None)
+    assert len(either) == 0 and log.query(Query()) == ([], None)
     assert code(log.get, "a", "e") == "not_found" and code(log.get, "a", "") == "missing_entity_id" and code(log.get, "z", "e") == "unknown_kind"
     assert code(log.query, Query(kind="z")) == "unknown_kind" and code(log.query, Query(intent=9)) == "unknown_intent"
     assert log.history("a", "e").count() == 0 and code(log.verify, "a", "e") == code(log.chain_head, "a", "e") == "no_chain"
-    store.close()
+    either.close()
     assert code(log.put, "a", "e", b"{}", None, None, HR) == "closed"
 
 
-def test_many_writes_at_once(store, clock, spark):
-    log, rows = Log(store, clock), []
+def test_many_writes_at_once(either, clock, spark):
+    log, rows = Log(either, clock), []
     for n, (_, e, k, _, a, b, intent, _, data) in enumerate(sequence(5, 40)):
         rows.append(("x", e, bytearray(data.encode()), a, b, ("u", "", ""), "", {}, intent, n))
     for part in (rows[:25], rows[25:]):
         _, bad, _ = log.write_many(spark.createDataFrame(part, MANY))
         assert {r.error_code for r in bad.collect()} <= {"invalid_interval"}
-    got = {(r.entity_id, bytes(r.data).decode(), r.valid_from, r.valid_to, r.intent, r.tx_to is None) for r in store.read().collect()}
+    got = {(r.entity_id, bytes(r.data).decode(), r.valid_from, r.valid_to, r.intent, r.tx_to is None) for r in either.read().collect()}
     assert got == {(e, str(k), a, b, intent, to is None) for e, k, a, b, _, intent, to in plain(sequence(5, 40))}
 
 
@@ -199,29 +204,29 @@ def test_chains_holds_and_sweeps(spark, tmp_path, clock):
     assert code(store.delete, store.read().select("id")) == "current_record" and store.delete(current.limit(0)) == 0
 
 
-def test_store_contract(store, spark):
+def test_store_contract(either, spark):
     rows = sequence(2, 12)
     w = table(spark, rows)
-    store.apply(lambda cur: increment(cur, w), batch="one")
-    n, log = len(store), store.read()
-    store.seed(log.withColumn("data", F.lit("other")))  # ids that are there keep their first record
-    assert len(store) == n and store.read().where("data = 'other'").count() == 0
+    either.apply(lambda cur: increment(cur, w), batch="one")
+    n, log = len(either), either.read()
+    either.seed(log.withColumn("data", F.lit("other")))  # ids that are there keep their first record
+    assert len(either) == n and either.read().where("data = 'other'").count() == 0
     nobody = spark.createDataFrame([("nobody", day(2030, 1))], "id string, tx_to timestamp_ntz")
-    store.supersede(nobody)
-    ids = store.current().select("id", F.lit(day(2030, 1)).cast("timestamp_ntz").alias("tx_to")).limit(1).collect()
+    either.supersede(nobody)
+    ids = either.current().select("id", F.lit(day(2030, 1)).cast("timestamp_ntz").alias("tx_to")).limit(1).collect()
     one = spark.createDataFrame(ids, nobody.schema)
-    store.supersede(one)
-    store.supersede(one.withColumn("tx_to", F.lit(day(2031, 1)).cast("timestamp_ntz")))
-    assert store.read().where("tx_to >= timestamp_ntz'2030-01-01'").first().tx_to == day(2030, 1)
+    either.supersede(one)
+    either.supersede(one.withColumn("tx_to", F.lit(day(2031, 1)).cast("timestamp_ntz")))
+    assert either.read().where("tx_to >= timestamp_ntz'2030-01-01'").first().tx_to == day(2030, 1)
     extra = log.limit(1).withColumn("id", F.lit("new"))
     for close in (one, nobody):
-        assert code(store.apply, lambda _, close=close: (extra, close)) == "conflict"
-    assert len(store) == n
-    seen = store.overlapping("x", "e0", day(2026, 2), day(2026, 3)).collect()
+        assert code(either.apply, lambda _, close=close: (extra, close)) == "conflict"
+    assert len(either) == n
+    seen = either.overlapping("x", "e0", day(2026, 2), day(2026, 3)).collect()
     assert all((r.valid_from or datetime.min) < day(2026, 3) and (r.valid_to or datetime.max) > day(2026, 2) for r in seen)
-    before = {tuple(r) for r in store.read().select("id", "tx_to").collect()}
-    store.compact()
-    assert {tuple(r) for r in store.read().select("id", "tx_to").collect()} == before
+    before = {tuple(r) for r in either.read().select("id", "tx_to").collect()}
+    either.compact()
+    assert {tuple(r) for r in either.read().select("id", "tx_to").collect()} == before
 
 
 def test_two_writers_lose_nothing(spark, tmp_path):
@@ -302,12 +307,12 @@ def test_texts():
     assert As(datetime(2026, 1, 1, 2, tzinfo=timezone(timedelta(hours=2)))).resolved(day(2027, 1)) == As(day(2026, 1), day(2027, 1))
 
 
-def test_codecs_are_replaceable(store, clock):
+def test_codecs_are_replaceable(either, clock):
     class Pairs(Codec):
         def decode(self, data):
             return dict(x.split("=") for x in bytes(data).decode().split(";"))
 
-    log = Log(store, clock, codec=Pairs())
+    log = Log(either, clock, codec=Pairs())
     log.put("a", "e", b"x=1;y=2", None, None, HR)
     clock.advance(timedelta(days=1))
     log.put("a", "e", b"x=1;y=3", None, None, HR)
