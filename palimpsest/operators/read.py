@@ -14,6 +14,7 @@ from ..functions import interval
 from ..functions.errors import HistoryError
 
 ORDER = ["tx_from", "valid_from", "id"]
+RANGE = "_range"
 
 
 def record_id() -> Column:
@@ -72,8 +73,12 @@ class Query:
         return out
 
 
+def _directed(descending: bool) -> list[Column]:
+    return [F.desc(c) if descending else F.asc(c) for c in ORDER]
+
+
 def ordered(records: DataFrame, descending: bool = False) -> DataFrame:
-    return records.orderBy(*[F.desc(c) if descending else F.asc(c) for c in ORDER])
+    return records.orderBy(*_directed(descending))
 
 
 def query(records: DataFrame, q: Query) -> DataFrame:
@@ -95,6 +100,51 @@ def page(records: DataFrame, q: Query) -> tuple[list, str | None]:
     return rows, encode_cursor(rows[-1]) if more else None
 
 
+def in_ranges(records: DataFrame) -> DataFrame:
+    """The records dealt out and sorted by the total order, with the number of their range. To be stored before it
+    is read: the cuts come from samples, and a second run may cut elsewhere."""
+    return records.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).withColumn(RANGE, F.spark_partition_id())
+
+
+def page_end(ranged: DataFrame, q: Query) -> str | None:
+    """The cursor that ``page`` gives along with its rows, for pages too large to gather: what is left is counted
+    by range, and the page's last row alone comes to the driver."""
+    if q.limit <= 0:
+        return None
+    rest = ranged.where(q.predicate())
+    if q.after:
+        rest = rest.where(beyond(decode_cursor(q.after), q.descending))
+    counts = sorted(((r[0], r[1]) for r in rest.groupBy(RANGE).count().collect()), reverse=q.descending)
+    if sum(n for _, n in counts) <= q.limit:
+        return None
+    left = q.limit
+    for at, n in counts:
+        if left <= n:
+            break
+        left -= n
+    place = F.row_number().over(Window.partitionBy(RANGE).orderBy(*_directed(q.descending)))
+    return encode_cursor(rest.where(F.col(RANGE) == at).withColumn("_n", place).where(F.col("_n") == left).select(*ORDER).first())
+
+
+def walk(ranged: DataFrame, q: Query) -> DataFrame:
+    """A walk to its end, each page resumed at the cursor of the one before: the records with the page they come on
+    and their place in the walk, both from 0. Rows stay where they are; the driver holds one cursor a page."""
+    ends, after = [], q.after
+    while after := page_end(ranged, Query(**{**q.__dict__, "after": after})):
+        ends.append(after)
+    rows = ranged.where(q.predicate())
+    if q.after:
+        rows = rows.where(beyond(decode_cursor(q.after), q.descending))
+    passed = [beyond(decode_cursor(c), q.descending).cast("int") for c in ends]
+    rows = rows.withColumn("page", sum(passed, F.lit(0)))
+    key, side = ["page", RANGE], F.desc(RANGE) if q.descending else F.asc(RANGE)
+    earlier = Window.partitionBy("page").orderBy(side).rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).select(*key, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
+    n = F.row_number().over(Window.partitionBy(*key).orderBy(*_directed(q.descending))) - 1
+    placed = rows.withColumn("_n", n).join(F.broadcast(starts), key)
+    return placed.withColumn("place", F.col("page").cast("long") * q.limit + F.col("_start") + F.col("_n")).drop("_n", "_start", RANGE)
+
+
 def beyond(key: tuple, descending: bool) -> Column:
     """Strictly after a position. The conjunct on tx_from alone is implied; it lets scans skip row groups."""
     tx, valid, rid = key

@@ -109,18 +109,18 @@ query_point = _query(read.Query(valid_at=VALID, tx_at=EARLY))
 _VIEW = read.Query(kind="view")
 
 
-def _stored(spark, sf_dir) -> DataFrame:
+def _views(spark, sf_dir) -> Store:
     """The views' log as a store holds it: pages are read from there, not made from the writes each time."""
     store = Store(spark, scratch(spark, "views"))
     store.seed(log(spark, sf_dir, _VIEW))
-    return store.read()
+    return store
 
 
 def _page(descending: bool, number: int):
     """The number-th page of 100, each resumed from the last row of the one before."""
 
     def run(spark, sf_dir):
-        r = _stored(spark, sf_dir)
+        r = _views(spark, sf_dir).read()
         q = read.Query(limit=100, descending=descending)
         for _ in range(number):
             rows, after = read.page(r, q)  # a page's rows, 100 at most
@@ -138,15 +138,15 @@ keyset_page_asc, keyset_page_desc = _page(False, 2), _page(True, 2)
 def last_page_empty(spark, sf_dir):
     """One kind's log walked in pages of a seventh, both ways: each row's place in the walk, and the page it came
     on. The last page gives no cursor, so no empty page follows it."""
-    r = _stored(spark, sf_dir)
-    size, seen = -(-r.count() // 7), []
-    for descending in (False, True):
-        after, page = None, 0
-        while page == 0 or after is not None:
-            rows, after = read.page(r, read.Query(limit=size, descending=descending, after=after))
-            seen += [(descending, page, page * size + n, x.id) for n, x in enumerate(rows)]
-            page += 1
-    return spark.createDataFrame(seen, "descending boolean, page int, place int, id string")
+    store = _views(spark, sf_dir)
+    r = store.keep(read.in_ranges(store.read()), "ranges")
+    size = -(-r.count() // 7)
+
+    def walk(descending):
+        rows = read.walk(r, read.Query(limit=size, descending=descending))
+        return rows.select(F.lit(descending).alias("descending"), "page", F.col("place").cast("int").alias("place"), "id")
+
+    return walk(False).unionByName(walk(True))
 
 
 def diff_flat(spark, sf_dir):

@@ -120,6 +120,26 @@ def test_pages_walk_the_whole_order(spark):
         read.query(r, read.Query(intent=7))
 
 
+@pytest.mark.parametrize("n", [0, 25])
+def test_a_walk_in_ranges_gives_the_same_pages(spark, tmp_path, n):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges of these few rows
+    rows = [r[:3] + (T[0],) + r[4:] for r in sequence(3, n)]  # one instant: unbounded starts and ids decide
+    read.in_ranges(read.with_ids(merge.replay(table(spark, rows)))).write.parquet(f"{tmp_path}/r")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    r = spark.read.parquet(f"{tmp_path}/r")
+    assert n == 0 or r.select(read.RANGE).distinct().count() > 1
+    for limit in (7, r.count(), 0):
+        for descending in (False, True):
+            q, seen, after, page = {"limit": limit, "descending": descending}, [], None, 0
+            while page == 0 or after is not None:
+                rows, after = read.page(r, read.Query(**q, after=after))
+                assert read.page_end(r, read.Query(**q, after=seen and cursor or None)) == after
+                seen += [(page, page * limit + i, x.id) for i, x in enumerate(rows)]
+                page, cursor = page + 1, after
+            got = read.walk(r, read.Query(**q)).select("page", "place", "id").collect()
+            assert sorted(got) == seen
+
+
 def test_entity_joins_are_equi_joins(spark):
     w = table(spark, sequence(1))
     probes = w.select("kind", "entity_id", F.col("tx").alias("valid_at"), F.col("tx").alias("tx_at"))

@@ -35,3 +35,13 @@ def test_query(spark, duck, name):
     got, want = QUERIES[name](spark, SF).toPandas(), duck.sql(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_a_walk_gathers_no_pages(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    gathered, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: gathered.append(out := collect(self)) or out)
+    out = QUERIES["last_page_empty"](spark, SF)
+    most = max(map(len, gathered))
+    assert out.where("page = 0 and not descending").count() > 50 and most <= 4  # ranges, as many as shuffle partitions
