@@ -70,20 +70,21 @@ def byte(n: Column) -> Column:
     return F.unhex(F.lpad(F.hex(n.cast("long")), 2, "0"))
 
 
-def uvarint(n: Column) -> Column:
-    """A length in groups of seven bits, the lowest first, the high bit set on all but the last."""
+def uvarint(n: Column, groups: int = 10) -> Column:
+    """A number in groups of seven bits, the lowest first, the high bit set on all but the last. Ten groups hold
+    any 64 bits, read as unsigned; five do for a length below 2^31."""
     n = n.cast("long")
-    out = byte(F.shiftrightunsigned(n, 28))
-    for k in (3, 2, 1, 0):
+    out = byte(F.shiftrightunsigned(n, 7 * groups - 7))
+    for k in range(groups - 2, -1, -1):
         part = F.shiftrightunsigned(n, 7 * k)
-        out = F.when(part < 128, byte(part)).otherwise(F.concat(byte(part.bitwiseAND(127).bitwiseOR(128)), out))
+        out = F.when(F.shiftrightunsigned(part, 7) == 0, byte(part)).otherwise(F.concat(byte(part.bitwiseAND(127).bitwiseOR(128)), out))
     return out
 
 
 def prefixed(c: Column) -> Column:
     """Bytes with their length in front; null is empty."""
     data = F.coalesce(c.cast("binary"), F.lit(b"").cast("binary"))
-    return F.concat(uvarint(F.octet_length(data)), data)
+    return F.concat(uvarint(F.octet_length(data), 5), data)
 
 
 def _is_json(text: str | None) -> bool:

@@ -90,7 +90,7 @@ def canonical(records: DataFrame) -> Column:
     if "meta" in records.columns:
         keys = F.sort_array(F.filter(F.map_keys("meta"), lambda k: k != META_CHAIN))
         pairs = F.aggregate(keys, F.lit(b"").cast("binary"), lambda out, k: F.concat(out, prefixed(k), prefixed(F.element_at("meta", k))))
-        meta = F.coalesce(F.concat(uvarint(F.size(keys)), pairs), meta)
+        meta = F.coalesce(F.concat(uvarint(F.size(keys), 5), pairs), meta)
     return F.concat(F.lit(b"\1").cast("binary"), *map(prefixed, fields), byte(F.col("intent")), meta)
 
 

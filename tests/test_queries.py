@@ -45,3 +45,20 @@ def test_a_walk_gathers_no_pages(spark, monkeypatch):
     out = QUERIES["last_page_empty"](spark, SF)
     most = max(map(len, gathered))
     assert out.where("page = 0 and not descending").count() > 50 and most <= 4  # ranges, as many as shuffle partitions
+
+
+def test_length_prefixes_of_64_bits(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from palimpsest.functions.scalars import uvarint
+
+    def coded(n):  # as Go's binary.AppendUvarint
+        return f"{n:02X}" if n < 128 else f"{n & 127 | 128:02X}" + coded(n >> 7)
+
+    edges = [0, *(1 << 7 * k for k in range(1, 9)), *((1 << 7 * k) - 1 for k in range(1, 10)), 1 << 36, -1, -(1 << 63)]
+    df = spark.createDataFrame([(n,) for n in edges], "n long").select("n", F.hex(uvarint(F.col("n"))))
+    assert {n: x for n, x in df.collect()} == {n: coded(n % (1 << 64)) for n in edges}
+    ids = [185363, 185364, 262143, 262144, 599999, 3037000499]  # squares around 2^35 and 2^36, and the last of 63 bits
+    spark.createDataFrame([(i, "{}") for i in ids], "event_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["uvarint_prefix"](spark, str(tmp_path)).collect()
+    assert {r.event_id: r["bytes"] for r in got} == {i: coded(i * i) for i in ids}
